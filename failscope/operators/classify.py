@@ -79,9 +79,9 @@ def risk_model(train: DataFrame, features: Sequence[str], target: str = "isFail"
     """Gradient-boosted failure model with the positive class weighted up."""
     weighted = weight_column(train, target)
     boost = GBTClassifier(
-        featuresCol="__x", labelCol=target, weightCol="weight", predictionCol="__pred", probabilityCol="__prob",
-        rawPredictionCol="__raw", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.9,
-        featureSubsetStrategy="0.8", seed=seed)
+        featuresCol="__x", labelCol=target, weightCol="weight", predictionCol="__pred", maxIter=rounds, maxDepth=depth,
+        stepSize=rate, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed)
+    boost = boost.setProbabilityCol("__prob").setRawPredictionCol("__raw")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x"), boost]).fit(weighted)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from failscope import constants as K
 from failscope.functions.parse import tokens
@@ -65,8 +66,9 @@ def tfidf_weights(df: DataFrame, row_id: str, group: str, message: str, max_feat
     # At most ``max_features`` rows.
     weighted = counts.join(F.broadcast(idf), "term").select(
         row_id, group, "term", (F.col("tf") * F.col("idf")).alias("__w"))
-    norms = weighted.groupBy(row_id).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-    return weighted.join(norms, row_id).select(row_id, group, "term", (F.col("__w") / F.col("__norm")).alias("weight"))
+    # The terms of one row, which are already together.
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(row_id)))
+    return weighted.select(row_id, group, "term", (F.col("__w") / norm).alias("weight"))
 
 
 def tfidf_keywords(df: DataFrame, row_id: str, group: str, message: str, top: int = 5,

@@ -250,8 +250,8 @@ _HISTORY = """h AS (SELECT *, CAST(value < 10 AS INTEGER) AS is_anomaly FROM ev)
 
 def _history(spark, sf):
     rows = logs_ev(spark, sf).select(
-        "event_id", "test_case_id", "status", F.col("fail_flag").alias("is_fail"), F.col("value").alias("execution_duration"),
-        (F.col("value") < 10).cast("int").alias("is_anomaly"), F.col("pred_prob").alias("anomaly_score"),
+        "event_id", "test_case_id", "status", F.col("fail_flag").alias("is_fail"), F.sqrt("value").alias("execution_duration"),
+        (F.col("value") < 10).cast("int").alias("is_anomaly"), F.sqrt("pred_prob").alias("anomaly_score"),
         F.col("timestamp").alias("executiontime"))
     return H.test_case_history(rows, [F.col("event_id")])
 
@@ -278,14 +278,14 @@ def _(spark, sf):
 
 
 @query("f09_expanding_mean_duration", ev_sql("""
-SELECT event_id, round(avg(value) OVER (PARTITION BY test_case_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS avg_duration FROM ev"""))
+SELECT event_id, round(avg(sqrt(value)) OVER (PARTITION BY test_case_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS avg_duration FROM ev"""))
 def _(spark, sf):
     return _history(spark, sf).select("event_id", r("avg_duration").alias("avg_duration"))
 
 
 @query("f10_anomaly_history", ev_sql("""
 SELECT event_id, round(coalesce(avg(is_anomaly) OVER (PARTITION BY test_case_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS rolling_anomaly_rate,
- round(avg(pred_prob) OVER (PARTITION BY test_case_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_anomaly_score FROM h""", _HISTORY))
+ round(avg(sqrt(pred_prob)) OVER (PARTITION BY test_case_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_anomaly_score FROM h""", _HISTORY))
 def _(spark, sf):
     return _history(spark, sf).select(
         "event_id", r("rolling_anomaly_rate").alias("rolling_anomaly_rate"), r("mean_anomaly_score").alias("mean_anomaly_score"))
