@@ -43,18 +43,22 @@ def scan_lines(spark: SparkSession, root: str, suffixes: Sequence[str] = ("log",
     blocks = text.groupBy("path", "block").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("lines"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).drop("lines")
+    path = relative_path(spark, F.col("path"), root)
     return text.join(blocks, ["path", "block"]).select(
-        relative_path(F.col("path"), root).alias("path"),
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
+        path.alias("path"),
+        F.element_at(F.split(path, "/"), -1).alias("filename"),
         (F.col("seq") - F.col("first_seq") + F.col("before") + 1).alias("line_number"),
         trim_line(F.col("value")).alias("raw_line"),
     )
 
 
-def relative_path(path: Column, root: str) -> Column:
+def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
     """Path below ``root``, URL escapes resolved."""
-    tail = root.rstrip("/").split("/")[-1]
-    return F.substring_index(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), f"/{tail}/", -1)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    decoded = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.substring(decoded, F.instr(decoded, prefix) + len(prefix), F.length(decoded))
 
 
 def explode_lines(df: DataFrame, text: str, keep_blank: bool = True) -> DataFrame:

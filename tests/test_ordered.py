@@ -23,10 +23,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, o int, v double, id int").repartition(5)
 
 
-COLUMNS = dict(
-    n=running_count(), before=running_count(inclusive=False), total=running_sum(F.col("v")),
-    past=running_mean(F.col("v"), inclusive=False), mean=running_mean(F.col("v")),
-    last=last_seen(F.col("v")), earlier=last_seen(F.col("v"), inclusive=False), ahead=next_seen(F.col("v")))
+NAMES = ("n", "before", "total", "past", "mean", "last", "earlier", "ahead")
+
+
+def columns():
+    v = F.col("v")
+    return dict(zip(NAMES, (
+        running_count(), running_count(inclusive=False), running_sum(v), running_mean(v, inclusive=False),
+        running_mean(v), last_seen(v), last_seen(v, inclusive=False), next_seen(v))))
 
 
 def expected(rows, keyed=True):
@@ -44,20 +48,24 @@ def expected(rows, keyed=True):
     return out
 
 
+def same(got, want):
+    assert got.keys() == want.keys()
+    for i in want:
+        assert [x if x is None else pytest.approx(x) for x in want[i]] == list(got[i]), i
+
+
 def found(df):
-    return {r.id: tuple(r[c] for c in COLUMNS) for r in df.collect()}
+    return {r.id: tuple(r[c] for c in NAMES) for r in df.collect()}
 
 
 @pytest.mark.parametrize("limit", [1_000, 60, 7])
 def test_running_per_key(frame, rows, limit):
-    got = found(running(frame, ["k"], [F.col("o")], limit, **COLUMNS))
-    assert got == pytest.approx(expected(rows))
+    same(found(running(frame, ["k"], [F.col("o")], limit, **columns())), expected(rows))
 
 
 @pytest.mark.parametrize("limit", [1_000, 60, 7])
 def test_running_global(frame, rows, limit):
-    got = found(running(frame, [], [F.col("o")], limit, **COLUMNS))
-    assert got == pytest.approx(expected(rows, keyed=False))
+    same(found(running(frame, [], [F.col("o")], limit, **columns())), expected(rows, keyed=False))
 
 
 def test_descending_order_and_nulls_last(spark):
