@@ -52,9 +52,9 @@ LINE_DUT_VERSION = r"(?iU)DUT[_\s]?(v?\d+(\.\d+)*)"
 LINE_CONFIG = r"(?iU)config[:=]\s*([a-zA-Z0-9_\-\.]+)"
 CLOCK = r"(?U)^(\d{2}:\d{2}:\d{2}\.\d+)"
 RESULT_PATTERNS = [
-    (r"(?iU)#\s*Result\s*[:\-]?\s*(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 2),
-    (r"(?iU)#\s*TEST\s*CASE\s*(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 2),
-    (r"(?iU)\b(TEST\s*CASE\s*)?(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 3),
+    (r"#\s*Result\s*[:\-]?\s*(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 2),
+    (r"#\s*TEST\s*CASE\s*(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 2),
+    (r"\b(TEST\s*CASE\s*)?(PASSED|FAILED|ABORTED|PASS|FAIL|ABORT)\b\s*[:\-]?\s*(.*)", 3),
 ]
 HEADER_PATTERNS = {
     "dut_name": r"(?iU)DUT\s*NAME\s*[:=]\s*(.+)",

@@ -112,24 +112,43 @@ def clock_run_date(line: Column, file_date: Column) -> Column:
     return F.when(line.rlike(K.CLOCK), file_date)
 
 
-def result_fields(line: Column) -> dict[str, Column]:
-    """Status and reason by the first of three patterns that matches.
+def result_rows(line: Column) -> Column:
+    """Array with one (status, error_msg) struct, to be used with ``inline``.
+
+    The first of three patterns that matches decides.  Of its groups that
+    captured something, the last one that is a status word gives the status,
+    and with more than one group the last is the reason.
 
-    The groups that captured something decide: the last one that is a status
-    word gives the status, and with more than one group the last is the reason.
+    Each pattern runs once: it replaces the line by its groups, separated by a
+    line break, which no line contains.  ``inline`` keeps later filters from
+    running the patterns a second time.
     """
-    groups = F.array().cast("array<string>")
-    for pattern, n in reversed(K.RESULT_PATTERNS):
-        captured = F.filter(
-            F.array(*[F.regexp_extract(line, pattern, i) for i in range(1, n + 1)]), lambda g: g != "")
-        groups = F.when(line.rlike(pattern), captured).otherwise(groups)
-    # Most lines have none of the words; skip the three patterns for them.
-    groups = F.when(line.rlike("(?iu)pass|fail|abort"), groups)
-    word = F.upper(F.try_element_at(F.filter(groups, lambda g: F.upper(g).isin(K.STATUS_WORDS)), F.lit(-1)))
-    return {
-        "status": F.regexp_replace(word, "^(PASS|FAIL|ABORT)ED$", "$1"),
-        "error_msg": F.when(F.size(groups) > 1, F.trim(F.try_element_at(groups, F.lit(-1)))),
-    }
+    def captured(patterns: list[tuple[str, int]]) -> Column:
+        (pattern, n), rest = patterns[0], patterns[1:]
+        groups = F.regexp_replace(line, rf"(?iUs)^.*?{pattern}\z", "\n".join(f"${i}" for i in range(1, n + 1)))
+        return _let(groups, lambda g: F.when(g.contains("\n"), F.filter(F.split(g, "\n"), lambda x: x != ""))
+                    .otherwise(captured(rest) if rest else F.lit(None).cast("array<string>")))
+
+    def fields(groups: Column) -> Column:
+        word = F.upper(F.try_element_at(F.filter(groups, lambda g: F.upper(g).isin(K.STATUS_WORDS)), F.lit(-1)))
+        return F.struct(
+            F.when(word.endswith("ED"), F.left(word, F.length(word) - 2)).otherwise(word).alias("status"),
+            F.when(F.size(groups) > 1, F.trim(F.try_element_at(groups, F.lit(-1)))).alias("error_msg"))
+
+    # Most lines have none of the words; skip the patterns for them.
+    groups = F.when(line.rlike("(?iu)pass|fail|abort"), captured(K.RESULT_PATTERNS))
+    return F.transform(F.array(groups), fields)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def result_fields(line: Column) -> dict[str, Column]:
+    """Status and reason of a line, see :func:`result_rows`."""
+    row = F.get(result_rows(line), F.lit(0))
+    return {"status": row["status"], "error_msg": row["error_msg"]}
 
 
 def error_category(message: Column) -> Column:

@@ -21,7 +21,7 @@ from failscope.operators.ordered import global_row_number
 from failscope.operators.quantiles import exact_quantiles
 from failscope.operators.vectors import assemble, scale, tfidf, tfidf_model
 from failscope.sources.columns import present
-from failscope.storage import materialize
+from failscope.storage import materialize, spread_small
 
 EULER = 0.5772156649015329
 _SCALE = 1 << 30
@@ -190,7 +190,7 @@ def detect_anomalies(df: DataFrame, row_id: str, order: Sequence[Column], text:
     """
     from failscope.functions.parse import message_snippet
 
-    ready = anomaly_vectors(df, text, max_features, bigrams, "__features")
+    ready = anomaly_vectors(spread_small(df), text, max_features, bigrams, "__features")
     forest = isolation_forest(ready, "__features", row_id, trees, seed=seed)
     # Written once: the threshold and the row number would otherwise score again.
     scored = materialize(forest.score(ready, "__features").drop("__features"), "scores")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 200_000
@@ -31,63 +31,78 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], small: i
     if n <= small:
         return list(x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
     places = [(n - 1) * p for p in probs]
-    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
-    found = _values_at(x, n, ranks, small)
-    out = []
-    for at in places:
-        low, high = found[math.floor(at)], found[math.ceil(at)]
-        out.append(low + (high - low) * (at - math.floor(at)))
-    return out
+    found = _values_at(x, n, {r for at in places for r in (math.floor(at), math.ceil(at))}, small)
+    return [_line(found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)) for at in places]
 
 
-def _values_at(x: DataFrame, n: int, ranks: list[int], small: int) -> dict[int, float]:
+def _line(low: float, high: float, share: float) -> float:
+    return low if low == high else low + (high - low) * share
+
+
+def _inside(low: float | None, high: float | None) -> Column:
+    """Strictly between two values; None stands for no limit."""
+    out = F.lit(True)
+    if low is not None:
+        out = out & (F.col("x") > low)
+    return out & (F.col("x") < high) if high is not None else out
+
+
+def _values_at(x: DataFrame, n: int, ranks: set[int], small: int) -> dict[int, float]:
     found: dict[int, float] = {}
-    bracket = {r: (-math.inf, math.inf, 0, n) for r in ranks}  # low, high, rows below, rows inside
-    while bracket:
-        open_ranks = list(bracket)
-        ends = x.agg(*[_ends(*bracket[r], r).alias(f"r{r}") for r in open_ranks]).first()
-        sizes = []
-        for r in open_ranks:
-            low, high = ends[f"r{r}"]
-            inside = F.col("x").between(low, high)
-            sizes += [F.count_if(F.col("x") < low).alias(f"b{r}"), F.count_if(inside).alias(f"n{r}"),
-                      F.approx_count_distinct(F.when(inside, F.col("x"))).alias(f"d{r}")]
-        size = x.agg(*sizes).first()
-        few = []
-        for r in open_ranks:
-            low, high = ends[f"r{r}"]
-            below, inside, distinct = size[f"b{r}"], size[f"n{r}"], size[f"d{r}"]
-            if not below <= r < below + inside:
-                raise ArithmeticError(f"rank {r} fell outside its bracket")
-            if low == high:
-                found[r] = low
-                del bracket[r]
-            elif distinct <= small:
-                few.append((r, low, high, below))
-                del bracket[r]
+    # rank -> (low, high, rows up to low, rows strictly between)
+    brackets = {r: (None, None, 0, n) for r in ranks}
+    while brackets:
+        ends = _ends(x, brackets)
+        pairs = sorted(set(ends.values()))
+        size = x.agg(*[c for i, (low, high) in enumerate(pairs) for c in (
+            F.count_if(F.col("x") < low).alias(f"below{i}"), F.count_if(F.col("x") == low).alias(f"low{i}"),
+            F.count_if(_inside(low, high)).alias(f"inner{i}"), F.count_if(F.col("x") == high).alias(f"high{i}"),
+            F.approx_count_distinct(F.when(_inside(low, high), F.col("x"))).alias(f"distinct{i}"))]).first()
+        few: dict[int, tuple] = {}
+        for rank in list(brackets):
+            low, high = ends[rank]
+            i = pairs.index((low, high))
+            start = size[f"below{i}"]
+            inner = start + size[f"low{i}"]
+            after = inner + size[f"inner{i}"]
+            if not start <= rank < after + size[f"high{i}"]:
+                raise ArithmeticError(f"rank {rank} fell outside its bracket")
+            # A run of equal values at either end is settled here, so the next bracket is always smaller.
+            if rank < inner or rank >= after:
+                found[rank] = low if rank < inner else high
+                del brackets[rank]
+            elif size[f"distinct{i}"] <= small:
+                few[rank] = (low, high, inner)
+                del brackets[rank]
             else:
-                bracket[r] = (low, high, below, inside)
+                brackets[rank] = (low, high, inner, size[f"inner{i}"])
         if few:
             wanted = F.lit(False)
-            for _, low, high, _ in few:
-                wanted = wanted | F.col("x").between(low, high)
+            for low, high, _ in set(few.values()):
+                wanted = wanted | _inside(low, high)
             # Few distinct values per bracket, checked just above.
             counts = sorted((row[0], row[1]) for row in x.filter(wanted).groupBy("x").count().collect())
-            for r, low, high, below in few:
-                seen = below
-                for v, c in counts:
-                    if low <= v <= high:
-                        seen += c
-                        if r < seen:
-                            found[r] = v
+            for rank, (low, high, seen) in few.items():
+                for value, count in counts:
+                    if low < value < high:
+                        seen += count
+                        if rank < seen:
+                            found[rank] = value
                             break
     return found
 
 
-def _ends(low: float, high: float, below: int, inside: int, rank: int):
-    at = (rank - below + 0.5) / inside
-    slack = 2.0 / ACCURACY + 1.0 / inside
-    x = F.col("x")
-    chosen = x if low == -math.inf else F.when(x.between(low, high), x)
-    probs = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-    return F.percentile_approx(chosen, probs, F.lit(ACCURACY))
+def _ends(x: DataFrame, brackets: dict[int, tuple]) -> dict[int, tuple[float, float]]:
+    """Two values around each rank, by sketches whose rank error is bounded."""
+    members: dict[tuple, list[int]] = {}
+    for rank, bracket in brackets.items():
+        members.setdefault(bracket, []).append(rank)
+    sketches = []
+    for i, ((low, high, below, inside), ranks) in enumerate(members.items()):
+        slack = 2.0 / ACCURACY + 1.0 / inside
+        at = [(r - below + 0.5) / inside for r in ranks]
+        probs = F.array(*[F.lit(p) for a in at for p in (max(0.0, a - slack), min(1.0, a + slack))])
+        sketches.append(F.percentile_approx(F.when(_inside(low, high), F.col("x")), probs, F.lit(ACCURACY)).alias(f"s{i}"))
+    row = x.agg(*sketches).first()
+    return {rank: (row[i][2 * j], row[i][2 * j + 1])
+            for i, ranks in enumerate(members.values()) for j, rank in enumerate(ranks)}

@@ -11,15 +11,20 @@ from pyspark.sql.window import Window
 from failscope import constants as K
 from failscope.functions.parse import tokens
 from failscope.operators.dedupe import top_per_key, top_rows
+from failscope.storage import spread_small
 
 
 def keyword_ranks(df: DataFrame, group: str, message: str, order: Column, top: int = 5,
                   stop_words: Sequence[str] | None = None, strip: bool = True) -> DataFrame:
     """(group, word, count, rank): most frequent words, ties by first appearance."""
-    words = df.select(
-        group, order.alias("__row"), F.posexplode(tokens(F.col(message), stop_words, strip)).alias("__pos", "word"))
-    counted = words.groupBy(group, "word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("__row", "__pos")).alias("__first"))
+    rows = spread_small(df.select(group, order.alias("__row"), message))
+    words = rows.select(
+        group, "__row", F.posexplode(tokens(F.col(message), stop_words, strip)).alias("__pos", "word"))
+    place = F.struct("__row", "__pos")
+    if dict(rows.dtypes)["__row"] in ("int", "bigint"):
+        # One number for (row, position) can be aggregated by hash; a struct needs a sort.
+        place = F.col("__row").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("__pos")
+    counted = words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("__first"))
     best = top_per_key(counted, [group], [F.col("count").desc(), F.col("__first")], top)
     # At most ``top`` rows per group are left.
     listed = best.groupBy(group).agg(F.sort_array(F.collect_list(

@@ -103,9 +103,9 @@ def parse_results(lines: DataFrame) -> DataFrame:
         "filename", "line_number",
         P.clock_timestamp(line, date).alias("timestamp"),
         P.clock_run_date(line, date).alias("run_date"),
-        *[c.alias(n) for n, c in P.result_fields(line).items()],
         P.suite_from_name(F.col("filename")).alias("suite"),
         "raw_line",
+        F.inline(P.result_rows(line)),
     )
 
 

@@ -66,7 +66,8 @@ def test_case_features(anomalies: DataFrame, classified: DataFrame, order: Seque
     df = df.withColumn("actual_status", coalesced_status(F.col("actual_status"), status))
     df = df.withColumn("fail_flag", V.flag(F.col("actual_status") == "FAIL"))
     df = failure_rates(df, {"test_case": "failure_rate", "suite": "suite_fail_rate", "dut": "dut_fail_rate"})
-    df = regression_group(df)
+    # Written once: the two orderings below would each run the joins again.
+    df = materialize(regression_group(df), "cases")
     keys = [c for c in ("dut", "suite", "run_date", "timestamp") if c in df.columns]
     last = [F.col(c) for c in order if c in df.columns]
     time = [x for c in keys for x in (F.col(c).isNull(), F.col(c))] + last

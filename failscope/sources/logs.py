@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from failscope.functions.parse import file_stem
-from failscope.storage import materialize
+from failscope.storage import materialize, spread_small
 
 LINE_BREAK = r"\r\n|\r|\n"
 BAD_CHARACTER = "�"
@@ -67,7 +67,7 @@ def explode_lines(df: DataFrame, text: str, keep_blank: bool = True) -> DataFram
     # A final line break ends the last line; it does not start an empty one.
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     others = [c for c in df.columns if c != text]
-    out = df.select(*others, F.posexplode(parts).alias("__pos", "__line")).select(
+    out = spread_small(df).select(*others, F.posexplode(parts).alias("__pos", "__line")).select(
         *others, (F.col("__pos") + 1).alias("line_number"), trim_line(F.col("__line")).alias("raw_line"))
     return out if keep_blank else out.filter("raw_line <> ''")
 

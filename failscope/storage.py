@@ -37,6 +37,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_INPUT = 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that is too small to come in enough splits.
+
+    A larger input is returned as it is: its splits are enough, and a shuffle of
+    it would cost more than it gives.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
     """A few constant rows as a frame that needs no Python worker."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]

@@ -27,7 +27,7 @@ def parse_line_stream(lines: DataFrame) -> DataFrame:
     parsed = lines.select(
         "filename",
         P.clock_timestamp(line, P.date_from_name(F.col("filename"))).alias("timestamp"),
-        *[c.alias(n) for n, c in P.result_fields(line).items()],
         P.suite_from_name(F.col("filename")).alias("suite"),
-        "raw_line")
+        "raw_line",
+        F.inline(P.result_rows(line)))
     return parsed.filter("status is not null")

@@ -308,7 +308,7 @@ def _(spark, sf):
             .when(kind == 3, F.concat(F.lit("a PASS: moved to "), "dut")).when(kind == 4, F.concat(F.lit("bypassed "), "dut"))
             .otherwise(F.col("raw_line")))
     rows = logs_ev(spark, sf).select("event_id", line.alias("line"))
-    return rows.select("event_id", *[c.alias(n) for n, c in P.result_fields(F.col("line")).items()])
+    return rows.select("event_id", F.inline(P.result_rows(F.col("line"))))
 
 
 _FIRST_SUITE = "CASE " + " ".join(f"WHEN contains(lower(filename), '{s}') THEN '{s}'" for s in K.SUITES) + " END"

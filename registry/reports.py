@@ -128,7 +128,7 @@ def _(spark, sf):
 
     # The status comes from the parsed line, not from the event.
     logs = logs_ev(spark, sf)
-    parsed = logs.select("run_date", parse.result_fields(F.col("raw_line"))["status"].alias("status"))
+    parsed = logs.select("run_date", F.inline(parse.result_rows(F.col("raw_line"))))
     return T.failure_spikes(parsed, only=False).select(
         F.col("run_date").cast("string").alias("run_date"), "total", r("failure_rate").alias("failure_rate"),
         r("threshold").alias("threshold"), F.col("is_spike").cast("int").alias("is_spike"))

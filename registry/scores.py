@@ -95,7 +95,7 @@ def _training(spark, sf):
 
 @query("h05_status_classifier")
 def _(spark, sf):
-    rows = N.stratified_split(_training(spark, sf), "label", "event_id")
+    rows = materialize(N.stratified_split(_training(spark, sf), "label", "event_id"), "training")
     model = C.status_classifier(rows.filter("is_test = 0"), trees=10, depth=8, max_features=200)
     return C.classified(rows.filter("is_test = 1"), model).groupBy("actualstatus", "predictedlabel").agg(
         F.count("*").alias("rows"))
