@@ -64,12 +64,16 @@ def label_codes(df: DataFrame, columns: Sequence[str], max_group_rows: int | Non
                    code=running_count(inclusive=False))
 
 
-def label_encode(df: DataFrame, columns: Sequence[str], max_group_rows: int | None = None) -> DataFrame:
-    """Replace each column by the ordinal of its value; null counts as ``Unknown``."""
+def label_encode(df: DataFrame, columns: Sequence[str], max_group_rows: int | None = None,
+                 codes_from: DataFrame | None = None) -> DataFrame:
+    """Replace each column by the ordinal of its value; null counts as ``Unknown``.
+
+    ``codes_from`` may name an earlier frame that holds the same values.
+    """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    codes = label_codes(df, columns, max_group_rows)
+    codes = label_codes(df if codes_from is None else codes_from, columns, max_group_rows)
     out = df
     for c in columns:
         of_column = codes.filter(F.col("column") == c).select(

@@ -115,13 +115,14 @@ def unified_training_table(logs: DataFrame, classified: DataFrame, clusters: Dat
         "clusterlabel": F.coalesce(F.col("cluster"), F.lit(-1)) if "cluster" in df.columns else F.lit(-1),
         "target": V.is_fail(F.col("status")),
     })
+    # Written once: the history and each encoded column would otherwise run the joins again.
+    joined = df = materialize(df, "unified")
     df = offset_to_final_failure(df, by)
     df = test_case_history(df, by, max_group_rows=max_group_rows)
     df = df.withColumns({"exec_day": V.weekday(F.col("executiontime")), "exec_hour": F.hour("executiontime")})
     codes = ["dut_version", "dut", "config", "regression_group", "schedule_cycle", "buildversion", "suite"]
     kept = [*[c for c in UNIFIED_COLUMNS if c in df.columns], *[c for c in order if c not in UNIFIED_COLUMNS]]
-    # Written once: each encoded column is a join of its own, and the history should not run for each.
-    return label_encode(materialize(df.select(*kept), "unified"), codes)
+    return label_encode(df.select(*kept), codes, codes_from=joined)
 
 
 @dataclass
