@@ -63,6 +63,8 @@ HEADER_PATTERNS = {
     "config": r"(?iU)CONFIGURATION\s*[:=]\s*(.+)",
     "test_case": r"(?iU)Test\s*Case\s*[:=]\s*([A-Za-z0-9_\-\.]+)",
 }
+# Every header pattern needs one of these words before its separator.
+HEADER_HINT = r"(?iU)(name|version|configuration|case)\s*[:=]"
 NAME_VERSION_TAG = r"(?iU)_(AS|TEC|IP|BC|OC|V\d+)[-_]?\d{8}"
 LINE_VERSION = r"(?iU)version\s*[:=]\s*([A-Za-z0-9\.\-_]+)"
 NAME_DUT = r"(?iU)(DUT[^\W_]+)"

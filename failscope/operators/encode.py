@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from failscope.constants import UNKNOWN
 from failscope.operators.joins import attach
 from failscope.operators.ordered import running, running_count
+from failscope.storage import sized
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, fraction: float = 0.2, seed: int = 42,
@@ -40,7 +41,7 @@ def stratified_split(df: DataFrame, label: str, row_id: str, fraction: float = 0
         "__label", F.col("__hash").alias("__cut_hash"), F.col("__id").alias("__cut_id"))
     chosen = (F.col("__hash") < F.col("__cut_hash")) | (
         (F.col("__hash") == F.col("__cut_hash")) & (F.col(row_id) <= F.col("__cut_id")))
-    return hashed.join(cuts, F.col(label).eqNullSafe(F.col("__label")), "left").select(
+    return hashed.join(sized(cuts), F.col(label).eqNullSafe(F.col("__label")), "left").select(
         *df.columns, F.coalesce(chosen.cast("int"), F.lit(0)).alias(name))
 
 
@@ -73,7 +74,7 @@ def label_encode(df: DataFrame, columns: Sequence[str], max_group_rows: int | No
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    codes = label_codes(df if codes_from is None else codes_from, columns, max_group_rows)
+    codes = sized(label_codes(df if codes_from is None else codes_from, columns, max_group_rows))
     out = df
     for c in columns:
         of_column = codes.filter(F.col("column") == c).select(

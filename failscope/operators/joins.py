@@ -2,8 +2,8 @@
 
 Aggregates are joined back instead of computed in a full-frame window: the
 window would send a whole key to one task, while the aggregate combines on the
-map side, and the join is broadcast or split by adaptive execution according to
-the real size of the aggregate.
+map side.  The join is broadcast, or else shuffled with hot keys split by
+adaptive execution, according to the real size of the aggregate.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from failscope.constants import ROOT_CAUSES
 from failscope.operators.dedupe import top_per_key
 from failscope.sources.columns import present
-from failscope.storage import literal_table
+from failscope.storage import literal_table, sized
 
 
 def attach(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -25,14 +25,14 @@ def attach(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFram
     keys = list(keys)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     small = df.filter(known).groupBy(*keys).agg(*[col.alias(name) for name, col in aggregates.items()])
-    return df.join(small, keys, "left").select(*df.columns, *aggregates)
+    return df.join(sized(small), keys, "left").select(*df.columns, *aggregates)
 
 
 def failure_frequency(df: DataFrame, key: str, name: str) -> DataFrame:
     """Number of FAIL rows of the key, 0 when it has none."""
     counted = df.filter((F.col("status") == "FAIL") & F.col(key).isNotNull()).groupBy(key).agg(
         F.count("status").alias(name))
-    return df.join(counted, key, "left").select(*df.columns, F.coalesce(name, F.lit(0)).alias(name))
+    return df.join(sized(counted), key, "left").select(*df.columns, F.coalesce(name, F.lit(0)).alias(name))
 
 
 def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -2,11 +2,11 @@
 
 A plain window sends a whole group to one task.  That is fine while the
 largest group is small, which :func:`running` checks first.  Beyond the limit
-the rows are range-partitioned by (keys, order) into chunks of bounded size,
-the window runs inside each (key, chunk), and the totals of the earlier (or
-later) chunks of the same key are added to it.  Neighbouring chunks share at
-most one key, so the table of carried totals has at most two rows per chunk,
-which is why it may be broadcast.
+the rows are range-partitioned by (keys, order) into even chunks, the window
+runs inside each (key, chunk), and the totals of the earlier (or later) chunks
+of the same key are added to it.  Neighbouring chunks share at most one key, so
+the table of carried totals has at most two rows per chunk, which is why it may
+be broadcast.
 
 The chunk number comes from range sampling, which may differ between two
 evaluations of one plan; the chunked rows are therefore written once.
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 
 from failscope.storage import materialize
 
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 5_000_000
+MAX_CHUNKS = 20_000
 _ORDER = "__ord"
 _CHUNK = "__chunk"
 
@@ -118,7 +119,8 @@ def _combine(step: _Step, local: Column, carry: Column) -> Column:
 def chunk_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, target: int) -> DataFrame:
     """Write ``df`` range-partitioned by (keys, order), numbered by chunk."""
     ordered = df.withColumn(_ORDER, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    chunks = max(1, -(-total // target))
+    # A shuffle into many more partitions than this costs more than larger chunks do.
+    chunks = min(max(1, -(-total // target)), MAX_CHUNKS)
     spread = ordered.repartitionByRange(chunks, *[F.col(k) for k in keys], F.col(_ORDER))
     return materialize(spread.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
 

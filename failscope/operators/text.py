@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from failscope import constants as K
 from failscope.functions.parse import tokens
 from failscope.operators.dedupe import top_per_key, top_rows
-from failscope.storage import spread_small
+from failscope.storage import sized, spread_small
 
 
 def keyword_ranks(df: DataFrame, group: str, message: str, order: Column, top: int = 5,
@@ -47,7 +47,7 @@ def top_keywords(df: DataFrame, group: str = "cluster", message: str = "error_ms
 
 def attach_keywords(df: DataFrame, keywords: DataFrame, group: str = "cluster") -> DataFrame:
     """Keywords of the row's cluster; ``No keywords`` on rows that are no failure."""
-    out = df.join(keywords.select(group, "keywords"), group, "left")
+    out = df.join(sized(keywords.select(group, "keywords")), group, "left")
     return out.select(*df.columns, F.when(F.col(group) == -1, F.array(F.lit(K.NO_KEYWORDS)))
                       .otherwise(F.coalesce("keywords", F.array().cast("array<string>"))).alias("keywords"))
 

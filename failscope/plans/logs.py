@@ -20,7 +20,7 @@ from failscope.operators.repair import (
     with_status_or_message,
 )
 from failscope.sources.logs import path_columns
-from failscope.storage import materialize
+from failscope.storage import materialize, sized
 
 ROW = ["filename", "line_number"]
 
@@ -63,11 +63,11 @@ def header_fields(lines: DataFrame, key: Sequence[str] = ("filename",)) -> DataF
     size is spread over many tasks.
     """
     key, names = list(key), list(K.HEADER_PATTERNS)
-    values = {n: F.trim(P.group_or_null(F.col("raw_line"), p)) for n, p in K.HEADER_PATTERNS.items()}
-    version_line = P.version_from_line(F.col("raw_line"))
-    hits = lines.select(*key, "line_number", *[c.alias(n) for n, c in values.items()],
-                        version_line.alias("version_line"))
-    number = F.col("line_number")
+    line, number = F.col("raw_line"), F.col("line_number")
+    # Few lines name a key at all; only those are worth the patterns, and the sort that text minima need.
+    hits = lines.filter(line.rlike(K.HEADER_HINT)).select(
+        *key, "line_number", *[F.trim(P.group_or_null(line, p)).alias(n) for n, p in K.HEADER_PATTERNS.items()],
+        P.version_from_line(line).alias("version_line"))
     known = hits.groupBy(*key).agg(
         *[F.min(F.when(F.col(n).isNotNull(), number)).alias(f"__{n}") for n in names],
         F.min_by("version_line", F.when(F.col("version_line").isNotNull(), number)).alias("version_line"))
@@ -75,11 +75,11 @@ def header_fields(lines: DataFrame, key: Sequence[str] = ("filename",)) -> DataF
     all_known = sum((c.isNull().cast("int") for c in firsts), F.lit(0)) == 0
     cutoff = known.select(*key, "version_line",
                           F.when(all_known, F.greatest(*firsts)).otherwise(F.lit(2**62)).alias("__cutoff"))
-    some = hits.filter(F.coalesce(*names).isNotNull()).drop("version_line")
-    before = some.join(cutoff.select(*key, "__cutoff"), key).filter(number <= F.col("__cutoff"))
+    before = hits.drop("version_line").join(cutoff.select(*key, "__cutoff"), key).filter(number <= F.col("__cutoff"))
     last = before.groupBy(*key).agg(*[
         F.max_by(n, F.when(F.col(n).isNotNull(), number)).alias(n) for n in names])
-    return cutoff.select(*key, "version_line").join(last, key, "left")
+    files = lines.select(*key).distinct()
+    return files.join(sized(cutoff.select(*key, "version_line").join(last, key)), key, "left")
 
 
 def with_fallbacks(headers: DataFrame) -> DataFrame:

@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import posixpath
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope.functions.parse import archive_date, archive_suite, file_stem
-from failscope.sources.logs import explode_lines
 
 PIECE_LINES = 20_000
 
 
+def _open(path: str) -> BinaryIO:
+    """Byte stream of a file on a mounted or remote file system."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    system, name = FileSystem.from_uri(quote(path, safe=":/"))
+    return system.open_input_stream(name)
+
+
+def _lines(stream: BinaryIO) -> Iterator[str]:
+    """Lines of a stream that cannot seek; undecodable bytes are dropped."""
+    decoder = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")("ignore"), translate=True)
+    rest = ""
+    while data := stream.read(1 << 20):
+        *done, rest = (rest + decoder.decode(data)).split("\n")
+        yield from done
+    *done, rest = (rest + decoder.decode(b"", final=True)).split("\n")
+    yield from done
+    if rest:
+        yield rest
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+        for path in batch["path"]:
+            with _open(path) as stream, tarfile.open(fileobj=stream, mode="r|gz") as tar:
                 for member in tar:
                     if not member.isfile():
                         continue
                     name, number, lines = posixpath.basename(member.name), 0, []
-                    text = io.TextIOWrapper(tar.extractfile(member), encoding="utf-8", errors="ignore")
-                    for line in text:
+                    for line in _lines(tar.extractfile(member)):
                         number += 1
                         lines.append((path, member.name, name, number, line.strip()))
                         if len(lines) == PIECE_LINES:
@@ -41,13 +65,15 @@ def _frame(lines: list[tuple]) -> pd.DataFrame:
 
 
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of every file member, read member by member in small pieces.
+    """Every line of every file member.
 
-    A gzip stream cannot be split, so an archive is one task; many archives run
-    side by side.
+    Spark lists the archives and spreads them over the tasks; a task streams
+    its archives and passes the lines on in small pieces, so neither an archive
+    nor a member has to fit in memory.  A gzip stream cannot be split, so one
+    archive stays in one task.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
+        "pathGlobFilter", "*.tar.gz").load(path).select("path")
     return files.mapInPandas(
         _unpack, "archive string, member string, filename string, line_number long, raw_line string")
 
@@ -68,6 +94,3 @@ def write_partitioned(df: DataFrame, path: str) -> None:
     if {"filename", "line_number"} <= set(df.columns):
         spread += [F.col("filename"), F.floor(F.col("line_number") / 1_000_000)]
     df.repartition(*spread).write.mode("overwrite").partitionBy("run_date", "suite").parquet(path)
-
-
-__all__ = ["scan_archives", "member_keys", "write_partitioned", "explode_lines"]

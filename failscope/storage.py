@@ -46,8 +46,25 @@ def spread_small(df: DataFrame) -> DataFrame:
     A larger input is returned as it is: its splits are enough, and a shuffle of
     it would cost more than it gives.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+    if estimated_bytes(df) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Give the planner the true size of a small result of a large input.
+
+    Without column statistics Spark takes an aggregate to be about as large as
+    its input, so a join with it starts by shuffling the large side.  Written
+    first, its file size is known, and the join is broadcast if (and only if)
+    it is below ``spark.sql.autoBroadcastJoinThreshold``.  The aggregate has to
+    be computed either way.  Small inputs stay lazy.
+    """
+    return materialize(df, "sized") if estimated_bytes(df) > SMALL_INPUT else df
 
 
 def literal_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:

@@ -41,6 +41,17 @@ def test_failure_rate_is_over_the_day_total(spark):
     assert T.daily_rates(df).first().failure_rate == 0.25
 
 
+def test_aggregates_of_large_inputs_are_written_first(spark, monkeypatch):
+    """With every input taken for large the results stay the same and the join is broadcast by size."""
+    from failscope import storage
+
+    monkeypatch.setattr(storage, "SMALL_INPUT", 0)
+    df = spark.createDataFrame([("a", 1), ("a", 0), (None, 1)], "t string, fail_flag int")
+    out = H.failure_rates(df, {"t": "rate"})
+    assert sorted((r.t or "", r.rate) for r in out.collect()) == [("", None), ("a", 0.5), ("a", 0.5)]
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_history_of_three_days(spark):
     rows = [("d", "t", s, ts, i, int(s == "FAIL")) for i, (s, ts) in enumerate(zip(("FAIL", "PASS", "FAIL"), DAY))]
     df = spark.createDataFrame(rows, "dut string, test_case_id string, status string, timestamp timestamp, i int, is_fail int")
