@@ -13,13 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope.constants import ANOMALY_NUMERIC
+from failscope.functions.parse import message_snippet
 from failscope.operators.ordered import global_row_number
 from failscope.operators.quantiles import exact_quantiles
-from failscope.operators.vectors import assemble, scale, tfidf, tfidf_model
+from failscope.operators.vectors import (
+    assemble, load_model, load_scaling, principal_axes, save_model, save_scaling, scale, scaling, tfidf, tfidf_model,
+)
 from failscope.sources.columns import present
 from failscope.storage import materialize, spread_small
 
@@ -171,29 +175,60 @@ def anomaly_flags(df: DataFrame, score: str = "anomaly_score", share: float = 0.
     return df.withColumn("is_anomaly", F.coalesce((F.col(score) < F.lit(threshold)).cast("int"), F.lit(0)))
 
 
-def anomaly_vectors(df: DataFrame, text: str = "error_msg", max_features: int = 2000, bigrams: bool = True,
-                    output: str = "features") -> DataFrame:
-    """TF-IDF of the message next to the scaled numeric features the frame has."""
+@dataclass
+class AnomalyModel:
+    """TF-IDF of the message, scaling of the numeric features, and the forest on both."""
+
+    text: str
+    words: PipelineModel
+    scaling: dict[str, tuple[float, float]]
+    forest: IsolationForest | None = None
+
+    def vectors(self, df: DataFrame, output: str = "features") -> DataFrame:
+        numeric = list(self.scaling)
+        wide = tfidf(df, self.words, self.text, "__text")
+        wide = scale(wide, numeric, "__z", self.scaling) if numeric else wide
+        return assemble(wide, ["__text", *[f"{c}__z" for c in numeric]], output).select(*df.columns, output)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return self.forest.score(self.vectors(df, "__features"), "__features").drop("__features")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_model(self.words, f"{path}/words")
+        save_scaling(spark, self.scaling, f"{path}/scaling")
+        self.forest.save(spark, f"{path}/forest")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, text: str = "error_msg") -> AnomalyModel:
+        return AnomalyModel(text, load_model(f"{path}/words"), load_scaling(spark, f"{path}/scaling"),
+                            IsolationForest.load(spark, f"{path}/forest"))
+
+
+def anomaly_features(df: DataFrame, text: str = "error_msg", max_features: int = 2000, bigrams: bool = True) -> AnomalyModel:
+    """Fit the two feature blocks on the numeric features the frame has."""
     numeric = present(df, ANOMALY_NUMERIC)
-    vectors = tfidf(df, tfidf_model(df, text, max_features, bigrams, "__text"), text, "__text")
-    scaled = scale(vectors, numeric, "__z") if numeric else vectors
-    out = assemble(scaled, ["__text", *[f"{c}__z" for c in numeric]], output)
-    return out.select(*df.columns, output)
+    return AnomalyModel(text, tfidf_model(df, text, max_features, bigrams, "__text"),
+                        scaling(df, numeric) if numeric else {})
+
+
+def fit_anomaly_model(df: DataFrame, row_id: str, text: str = "error_msg", trees: int = 300, max_features: int = 2000,
+                      bigrams: bool = True, seed: int = 42) -> AnomalyModel:
+    model = anomaly_features(df, text, max_features, bigrams)
+    model.forest = isolation_forest(model.vectors(df, "__features"), "__features", row_id, trees, seed=seed)
+    return model
 
 
 def detect_anomalies(df: DataFrame, row_id: str, order: Sequence[Column], text: str = "error_msg", trees: int = 300,
                      max_features: int = 2000, share: float = 0.05, seed: int = 42, dots: bool = True,
-                     bigrams: bool = True) -> DataFrame:
+                     bigrams: bool = True, model: AnomalyModel | None = None) -> DataFrame:
     """Score, flag, running row number and message snippet of every row.
 
     The scores are offset so that the threshold is at 0.
     """
-    from failscope.functions.parse import message_snippet
-
-    ready = anomaly_vectors(spread_small(df), text, max_features, bigrams, "__features")
-    forest = isolation_forest(ready, "__features", row_id, trees, seed=seed)
+    rows = spread_small(df)
+    model = model or fit_anomaly_model(rows, row_id, text, trees, max_features, bigrams, seed)
     # Written once: the threshold and the row number would otherwise score again.
-    scored = materialize(forest.score(ready, "__features").drop("__features"), "scores")
+    scored = materialize(model.score(rows), "scores")
     threshold = exact_quantiles(scored, "anomaly_score", [share])[0]
     flagged = scored.withColumn("anomaly_score", F.col("anomaly_score") - F.lit(threshold)).withColumn(
         "is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
@@ -201,6 +236,12 @@ def detect_anomalies(df: DataFrame, row_id: str, order: Sequence[Column], text:
     return numbered.withColumn("MessageSnippet", message_snippet(F.col(text), dots))
 
 
+def message_axes(df: DataFrame, text: str = "MessageSnippet", max_features: int = 300) -> DataFrame:
+    """Two-dimensional view of the messages: standardised TF-IDF on its principal axes."""
+    wide = tfidf(df, tfidf_model(df, text, max_features, bigrams=False, output="__text"), text, "__text")
+    return principal_axes(wide, "__text", standardise=True).drop("__text")
+
+
 def anomaly_points(df: DataFrame, axes: Sequence[str] = ("pca_1", "pca_2")) -> DataFrame:
     """Anomalies on the two axes with their ``dut | suite`` label."""
     return df.filter(F.col("is_anomaly") == 1).select(*axes, F.concat_ws(" | ", "dut", "suite").alias("label"))

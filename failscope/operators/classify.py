@@ -68,11 +68,8 @@ def risk_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     if cluster and cluster not in categories:
         categories.append(cluster)
     out = target_encode(df, categories)
-    kinds = dict(df.dtypes)
-    numbers = {}
-    for c in numeric:
-        seconds = F.unix_timestamp(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c)
-        numbers[f"{c}__x"] = to_number_or_zero(seconds.cast("string"))
+    # A column that holds no numbers (such as a time stamp) counts as 0.
+    numbers = {f"{c}__x": to_number_or_zero(F.col(c).cast("string")) for c in numeric}
     return out.withColumns(numbers), [*numbers, *[f"{c}_te" for c in categories]]
 
 

@@ -13,6 +13,14 @@ from failscope.operators.dedupe import top_rows
 from failscope.operators.repair import with_status
 
 
+GAP_MEANING = {
+    "dut_version": "DUT version is missing, models should not rely on it",
+    "os_version": "OS version is missing, its extraction should be improved",
+    "error_msg": "rows without an error message",
+    "duplicate_rows": "repeated rows, consider removing them",
+}
+
+
 def value_counts(df: DataFrame, column: str, nulls: bool = False, name: str = "count") -> DataFrame:
     """Rows per value, most frequent first, ties by value."""
     source = df if nulls else df.filter(F.col(column).isNotNull())
@@ -76,12 +84,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def data_gaps(df: DataFrame) -> DataFrame:
-    """The quality rules that are broken, with the number of rows at fault."""
+    """The quality rules that are broken, with the number of rows at fault and what it means."""
     watched = [c for c in ("dut_version", "os_version", "error_msg") if c in df.columns]
     report = column_report(df.select(*watched)).select(
         F.col("column").alias("gap"), F.col("missing_count").alias("rows"))
     repeated = duplicate_rows(df).select(F.lit("duplicate_rows").alias("gap"), F.col("duplicate_rows").alias("rows"))
-    return report.unionByName(repeated).filter("rows > 0")
+    meaning = F.lit("")
+    for gap, text in GAP_MEANING.items():
+        meaning = F.when(F.col("gap") == gap, text).otherwise(meaning)
+    return report.unionByName(repeated).filter("rows > 0").withColumn("message", meaning)
 
 
 def report_totals(df: DataFrame, fail: str = "isFail") -> DataFrame:

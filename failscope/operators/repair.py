@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from failscope import constants as K
 from failscope.functions.parse import date_from_name, suite_from_name
 from failscope.operators.ordered import first_in_frame, last_seen, next_seen, running
+from failscope.sources.columns import file_key
 
 
 def with_status(df: DataFrame, statuses: Sequence[str], column: str = "status") -> DataFrame:
@@ -70,7 +71,7 @@ def pass_and_fail_messages(df: DataFrame) -> DataFrame:
 def reason_from_context(df: DataFrame, reach: int = 10, max_group_rows: int | None = None) -> DataFrame:
     """Empty FAIL / ABORT messages get the earliest telling line within ``reach`` rows of the file."""
     line = F.when(F.col("raw_line").rlike(K.CONTEXT_KEYWORDS), F.trim("raw_line"))
-    out = first_in_frame(df, ["filename"], [F.col("line_number")], reach, line, "__near", max_group_rows)
+    out = first_in_frame(df, [file_key(df)], [F.col("line_number")], reach, line, "__near", max_group_rows)
     needs = F.col("status").isin("FAIL", "ABORT") & (F.coalesce("error_msg", F.lit("")) == "")
     return out.withColumn(
         "error_msg",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,8 +10,10 @@ from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
     StandardScaler, StopWordsRemover, VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,18 +70,36 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="keep").transform(df)
 
 
-def principal_axes(df: DataFrame, vector: str, standardise: bool = False, outputs: tuple[str, str] = ("pca_1", "pca_2")) -> DataFrame:
+def principal_axes(df: DataFrame, vector: str, standardise: bool = False,
+                   outputs: tuple[str, str] = ("pca_1", "pca_2")) -> DataFrame:
     """Coordinates on the first two principal axes of the centred vectors.
 
-    Meant for at most a few thousand columns: the covariance is held on the driver.
+    The vectors stay sparse: the mean is taken off the two coordinates instead
+    of the vectors.  Meant for at most a few thousand columns, as the covariance
+    is held on the driver.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    centred = StandardScaler(inputCol=vector, outputCol="__centred", withMean=True, withStd=standardise)
-    axes = PCA(k=2, inputCol="__centred", outputCol="__axes")
-    out = Pipeline(stages=[centred, axes]).fit(df).transform(df)
+    source, rows = vector, df
+    if standardise:
+        source = "__scaled"
+        rows = StandardScaler(inputCol=vector, outputCol=source, withMean=False, withStd=True).fit(df).transform(df)
+    model = PCA(k=2, inputCol=source, outputCol="__axes").fit(rows)
+    stats = rows.agg(Summarizer.mean(F.col(source)).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    shift = model.pc.toArray().T @ stats.m.toArray()
+    # Spark scales by the sample deviation, the population deviation is meant.
+    factor = math.sqrt(stats.n / (stats.n - 1)) if standardise and stats.n > 1 else 1.0
     pair = vector_to_array("__axes")
-    return out.select(*df.columns, pair[0].alias(outputs[0]), pair[1].alias(outputs[1]))
+    return model.transform(rows).select(
+        *df.columns, *[((pair[i] - F.lit(float(shift[i]))) * F.lit(factor)).alias(outputs[i]) for i in range(2)])
+
+
+def save_scaling(spark: SparkSession, fitted: dict[str, tuple[float, float]], path: str) -> None:
+    rows = [(c, float(m), float(s)) for c, (m, s) in fitted.items()]
+    spark.createDataFrame(rows, "column string, mean double, deviation double").write.mode("overwrite").parquet(path)
+
+
+def load_scaling(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
+    # One row per scaled column.
+    return {r["column"]: (r["mean"], r["deviation"]) for r in spark.read.parquet(path).collect()}
 
 
 def save_model(model: PipelineModel, path: str) -> None:

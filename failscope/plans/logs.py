@@ -6,8 +6,6 @@ Input of all plans: ``path``, ``filename``, ``line_number``, ``raw_line`` (see
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +17,10 @@ from failscope.operators.repair import (
     date_backstop, fill_both_ways, pass_and_fail_messages, reason_from_context, suite_backstop,
     with_status_or_message,
 )
+from failscope.sources.columns import file_key, row_order
 from failscope.sources.logs import path_columns
 from failscope.storage import materialize, sized
 
-ROW = ["filename", "line_number"]
-
-
 def standardise(lines: DataFrame) -> DataFrame:
     """``timestamp - testcase - status`` lines; other lines are kept as ``raw``."""
     rows = path_columns(lines.filter("raw_line <> ''"), fallback_to_stem=False)
@@ -56,13 +52,13 @@ def convert(lines: DataFrame, max_group_rows: int | None = None) -> DataFrame:
         "dut_version", "config", "raw_line"))
 
 
-def header_fields(lines: DataFrame, key: Sequence[str] = ("filename",)) -> DataFrame:
+def header_fields(lines: DataFrame) -> DataFrame:
     """Header values per file: the last match of each key up to the line at which all keys are known.
 
     Both steps are aggregates with map-side partial results, so a file of any
     size is spread over many tasks.
     """
-    key, names = list(key), list(K.HEADER_PATTERNS)
+    key, names = [c for c in ("path", "filename") if c in lines.columns], list(K.HEADER_PATTERNS)
     line, number = F.col("raw_line"), F.col("line_number")
     # Few lines name a key at all; only those are worth the patterns, and the sort that text minima need.
     hits = lines.filter(line.rlike(K.HEADER_HINT)).select(
@@ -87,7 +83,7 @@ def with_fallbacks(headers: DataFrame) -> DataFrame:
     name = F.col("filename")
     version = F.when(~F.lower("dut_version").startswith("unknown"), F.col("dut_version"))
     return headers.select(
-        "filename",
+        *[c for c in ("path", "filename") if c in headers.columns],
         F.coalesce("dut_name", P.dut_from_name(name)).alias("dut"),
         F.coalesce(version, P.version_from_name(name), "version_line", F.lit(K.DEFAULT_DUT_VERSION)).alias("dut_version"),
         F.coalesce("os_version", F.lit(K.DEFAULT_OS)).alias("os_version"),
@@ -100,7 +96,7 @@ def parse_results(lines: DataFrame) -> DataFrame:
     """Clock, status, reason and suite of every line."""
     line, date = F.col("raw_line"), P.date_from_name(F.col("filename"))
     return lines.select(
-        "filename", "line_number",
+        *[c for c in ("path", "filename") if c in lines.columns], "line_number",
         P.clock_timestamp(line, date).alias("timestamp"),
         P.clock_run_date(line, date).alias("run_date"),
         P.suite_from_name(F.col("filename")).alias("suite"),
@@ -111,8 +107,9 @@ def parse_results(lines: DataFrame) -> DataFrame:
 
 def repair(rows: DataFrame, max_group_rows: int | None = None) -> DataFrame:
     """Fill time stamps, dates and suites; set messages; drop undated rows."""
-    order = [F.col("filename"), F.col("line_number")]
-    out = fill_both_ways(rows, ["filename"], [F.col("line_number")], ["timestamp", "run_date"], max_group_rows)
+    file = file_key(rows)
+    order = [F.col(c) for c in row_order(rows)]
+    out = fill_both_ways(rows, [file], [F.col("line_number")], ["timestamp", "run_date"], max_group_rows)
     out = out.withColumn("run_date", F.coalesce("run_date", P.date_from_name(F.col("filename"))))
     out = fill_both_ways(suite_backstop(out), ["dut", "test_case_id"], order, ["suite"], max_group_rows)
     out = reason_from_context(pass_and_fail_messages(out), max_group_rows=max_group_rows)
@@ -126,8 +123,9 @@ def preprocess(lines: DataFrame, max_group_rows: int | None = None) -> DataFrame
     times and the patterns are the expensive part.
     """
     parsed = with_status_or_message(parse_results(lines))
-    joined = parsed.join(with_fallbacks(header_fields(lines)), "filename", "left")
+    headers = with_fallbacks(header_fields(lines))
+    joined = parsed.join(headers, [c for c in ("path", "filename") if c in lines.columns], "left")
     rows = materialize(joined, "parsed")
     return repair(rows, max_group_rows).select(
         "filename", "dut", "dut_version", "os_version", "config", "test_case_id", "line_number", "timestamp",
-        "run_date", "status", "error_msg", "suite", "raw_line")
+        "run_date", "status", "error_msg", "suite", "raw_line", *[c for c in ("path",) if c in rows.columns])

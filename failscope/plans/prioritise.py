@@ -23,7 +23,7 @@ from failscope.operators.history import (
 from failscope.operators.joins import join_available, many_to_one, null_safe_left_join
 from failscope.operators.repair import coalesced_status, fill_constants
 from failscope.operators.scoring import prioritise, risk_scores
-from failscope.sources.columns import drop, keep, normalise_headers, rename
+from failscope.sources.columns import drop, keep, normalise_headers, rename, row_order
 from failscope.storage import materialize
 
 MERGE_KEYS = ("filename", "dut", "suite", "test_case")
@@ -51,7 +51,7 @@ def training_rows(df: DataFrame, row_id: str, fraction: float = 0.2, seed: int =
     return stratified_split(filled, "label", row_id, fraction, seed)
 
 
-def test_case_features(anomalies: DataFrame, classified: DataFrame, order: Sequence[str] = ("filename", "line_number"),
+def test_case_features(anomalies: DataFrame, classified: DataFrame, order: Sequence[str] | None = None,
                        max_group_rows: int | None = None) -> DataFrame:
     """Anomaly rows joined with their classification, and the failure history of each."""
     left, right = normalise_headers(anomalies), normalise_headers(classified)
@@ -69,7 +69,7 @@ def test_case_features(anomalies: DataFrame, classified: DataFrame, order: Seque
     # Written once: the two orderings below would each run the joins again.
     df = materialize(regression_group(df), "cases")
     keys = [c for c in ("dut", "suite", "run_date", "timestamp") if c in df.columns]
-    last = [F.col(c) for c in order if c in df.columns]
+    last = [F.col(c) for c in (order or row_order(df))]
     time = [x for c in keys for x in (F.col(c).isNull(), F.col(c))] + last
     df = schedule_cycle(df, time[4:], max_group_rows=max_group_rows)
     df = past_failure_frequency(df, time, max_group_rows=max_group_rows)
@@ -85,9 +85,8 @@ UNIFIED_COLUMNS = [
 
 
 def unified_training_table(logs: DataFrame, classified: DataFrame, clusters: DataFrame, anomalies: DataFrame,
-                           order: Sequence[str] = ("filename", "line_number"),
-                           anomaly_keys: Sequence[str] = ("filename", "test_case_id", "suite", "line_number"),
-                           row_order: Sequence[str] = ("filename", "line_number"),
+                           order: Sequence[str] | None = None,
+                           anomaly_keys: Sequence[str] = ("path", "filename", "test_case_id", "suite", "line_number"),
                            max_group_rows: int | None = None) -> DataFrame:
     """Logs with classification, cluster and anomaly columns, and features from their history.
 
@@ -97,7 +96,10 @@ def unified_training_table(logs: DataFrame, classified: DataFrame, clusters: Dat
     """
     logs, classified, clusters, anomalies = map(normalise_headers, (logs, classified, clusters, anomalies))
     classified, anomalies = (rename(x, {"testcase": "test_case_id"}) for x in (classified, anomalies))
-    first = lambda df: [F.col(c) for c in row_order if c in df.columns] or [F.struct(*df.columns)]
+    order = order or row_order(logs)
+    # The first row per key; rows without a position are compared as a whole.
+    first = lambda df: [F.col(c) for c in row_order(df) if c in df.columns] + [F.struct(*sorted(
+        c for c, t in df.dtypes if not t.startswith("map")))]
     keys = ["test_case_id", "suite"]
     df = many_to_one(logs, classified, keys, first(classified), ("", "_clf"))
     df = many_to_one(df, clusters, keys, first(clusters), ("", "_clu"))

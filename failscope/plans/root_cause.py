@@ -13,16 +13,14 @@ from failscope.operators import text as X
 from failscope.operators.history import execution_duration, time_since_last_failure
 from failscope.operators.joins import failure_frequency, label_clusters
 from failscope.operators.repair import failures_only, with_status
-from failscope.operators.trends import cluster_counts, cluster_counts_if_several
-from failscope.sources.columns import add_missing, require
-
-ORDER = ("filename", "line_number")
+from failscope.operators.trends import cluster_counts, cluster_counts_if_several, monthly_counts
+from failscope.sources.columns import add_missing, require, row_order
 
 
 def failure_features(logs: DataFrame, order: Sequence[Column] | None = None,
                      max_group_rows: int | None = None) -> DataFrame:
     """Failure counts, duration, time since the last failure, flags and buckets per row."""
-    order = order or [F.col(c) for c in ORDER]
+    order = order or [F.col(c) for c in row_order(logs)]
     df = with_status(logs.withColumn("status", V.normal_status(F.col("status"))), K.STATUSES)
     df = df.withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
     df = failure_frequency(df, "suite", "failure_freq_suite")
@@ -42,7 +40,7 @@ def label_root_causes(df: DataFrame, order: Column | None = None, default: str =
                       stop_words: Sequence[str] | None = None, strip: bool = True) -> tuple[DataFrame, DataFrame]:
     """(labelled rows, examples per cluster) from rows with a cluster number."""
     require(df, ["cluster", "error_msg"])
-    order = order if order is not None else F.struct(*[F.col(c) for c in ORDER])
+    order = order if order is not None else F.struct(*[F.col(c) for c in row_order(df)])
     df = df.withColumn("error_msg", F.coalesce("error_msg", F.lit(K.NO_ERROR)))
     failures = df.filter(F.col("cluster") != -1)
     keywords = X.top_keywords(failures, "cluster", "error_msg", order, stop_words=stop_words, strip=strip)
@@ -52,7 +50,7 @@ def label_root_causes(df: DataFrame, order: Column | None = None, default: str =
 
 
 def correlation_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """Cluster counts alone and against DUT version, configuration and suite."""
+    """Cluster counts alone and against DUT version, configuration, suite and month."""
     filled = add_missing(df, {c: K.UNKNOWN for c in ("cluster", "dut_version", "config", "run_date", "suite")})
     rows = failures_only(filled).withColumns({
         c: F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN)) for c in ("dut_version", "config", "suite")})
@@ -62,4 +60,6 @@ def correlation_tables(df: DataFrame) -> dict[str, DataFrame]:
         "by_dut_version": cluster_counts(rows, "dut_version"),
         "by_config": cluster_counts(rows, "config"),
         "by_suite": cluster_counts_if_several(rows, "suite"),
+        "by_month": monthly_counts(
+            rows.withColumn("run_date", F.col("run_date").try_cast("timestamp")), "run_date", "cluster", list(K.ROOT_CAUSES)),
     }

@@ -59,6 +59,16 @@ def require(df: DataFrame, names: Sequence[str], rows: bool = False) -> DataFram
     return df
 
 
+def file_key(df: DataFrame) -> str:
+    """Column that identifies a file: its path, or its name where no path is kept."""
+    return "path" if "path" in df.columns else "filename"
+
+
+def row_order(df: DataFrame) -> list[str]:
+    """Columns that identify and order the rows."""
+    return [file_key(df), "line_number"]
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """(column, type, position) of the frame as a table."""
     rows = [(name, kind, i) for i, (name, kind) in enumerate(df.dtypes)]

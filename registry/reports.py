@@ -89,7 +89,9 @@ def _(spark, sf):
 
 
 @query("e09_data_gaps", ev_sql(f"""
-SELECT * FROM (SELECT 'dut_version' AS gap, count(*) - count(dut_version) AS rows FROM x UNION ALL SELECT 'os_version', count(*) - count(os_version) FROM x
+SELECT gap, rows, CASE gap WHEN 'os_version' THEN 'OS version is missing, its extraction should be improved'
+  WHEN 'error_msg' THEN 'rows without an error message' WHEN 'duplicate_rows' THEN 'repeated rows, consider removing them' END AS message
+FROM (SELECT 'dut_version' AS gap, count(*) - count(dut_version) AS rows FROM x UNION ALL SELECT 'os_version', count(*) - count(os_version) FROM x
  UNION ALL SELECT 'error_msg', count(*) - count(error_msg) FROM x UNION ALL SELECT 'duplicate_rows', {_DUPLICATES}) WHERE rows > 0""", _GAPS))
 def _(spark, sf):
     return P.data_gaps(_gaps(spark, sf))

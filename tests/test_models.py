@@ -74,13 +74,39 @@ def test_isolation_forest_finds_outliers(spark, tmp_path):
 
 def test_isolation_forest_on_sparse_and_tiny_input(spark):
     df = spark.createDataFrame([(i, "port port" if i % 9 else "strange thing") for i in range(90)], "id int, error_msg string")
-    ready = A.anomaly_vectors(df)
+    ready = A.anomaly_features(df).vectors(df)
     forest = A.isolation_forest(ready, "features", "id", trees=30)
     out = materialize(forest.score(ready, "features").select("error_msg", "anomaly_score"))
     means = {r.error_msg: r.s for r in out.groupBy("error_msg").agg(F.avg("anomaly_score").alias("s")).collect()}
     assert means["strange thing"] < means["port port"]
 
 
+def test_anomaly_model_round_trip_and_axes(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"port p{i % 7} mismatch", float(i % 5)) for i in range(60)],
+                               "id int, error_msg string, execution_duration double")
+    model = A.fit_anomaly_model(df, "id", trees=10, max_features=50)
+    model.save(spark, str(tmp_path / "m"))
+    again = A.AnomalyModel.load(spark, str(tmp_path / "m"))
+    scores = lambda m: {r.id: r.anomaly_score for r in m.score(df).collect()}
+    assert scores(again) == pytest.approx(scores(model))
+    found = A.detect_anomalies(df, "id", [F.col("id")], model=again)
+    assert found.count() == 60 and found.filter("is_anomaly = 1").count() <= 3
+    axes = A.message_axes(found).agg(F.avg("pca_1"), F.avg("pca_2")).first()
+    assert list(axes) == pytest.approx([0, 0], abs=1e-9)
+
+
+def test_standardised_axes_against_svd(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 4)) * [5, 3, 1, 2] + 7
+    x[:, 0] += 2 * x[:, 1]
+    df = spark.createDataFrame([(i, list(map(float, row))) for i, row in enumerate(x)], "id int, a array<double>")
+    out = X.principal_axes(df.withColumn("v", array_to_vector("a")), "v", standardise=True).orderBy("id").collect()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = z @ np.linalg.svd(z)[2][:2].T
+    for k, name in enumerate(("pca_1", "pca_2")):
+        assert np.abs([r[name] for r in out]) == pytest.approx(np.abs(want[:, k]))
+
+
 def test_mean_path():
     assert A.mean_path(1) == 0 and A.mean_path(2) == 1
     assert A.mean_path(256) == pytest.approx(10.2448, abs=1e-3)
