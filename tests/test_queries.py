@@ -41,3 +41,20 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", [
+    "b05_run_date_carry", "c06_fill_both_ways", "c07_suite_fill", "c09_context_repair", "f03_schedule_cycle",
+    "f04_past_failure_frequency", "f05_time_since_last_failure", "f06_past_failure_rate", "f10_anomaly_history",
+    "f01_failure_rates", "f11_row_number", "h14_label_encoding", "h19_roc_auc", "h21_top_k_capture", "h24_prioritised",
+    "h26_unified_training_table", "h26_test_case_features"])
+def test_query_with_every_group_taken_for_hot(spark, con, monkeypatch, name):
+    """The ways for large groups and large inputs give the same results."""
+    from failscope import storage
+    from failscope.operators import ordered, quantiles
+
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 40)
+    monkeypatch.setattr(storage, "SMALL_INPUT", 0)
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    result, _ = compare(spark, con, SF, queries()[name], oracle_sql()[name])
+    assert result == "ok"
