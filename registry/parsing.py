@@ -411,12 +411,12 @@ def _(spark, sf):
 
 
 @query("b22_execution_duration", ev_sql("""
-SELECT event_id, round(epoch_us(max("timestamp") OVER w) / 1e6 - epoch_us(min("timestamp") OVER w) / 1e6, 3) AS execution_duration
+SELECT event_id, round((epoch_us(max("timestamp") OVER w) - epoch_us(min("timestamp") OVER w)) / 1e6, 6) AS execution_duration
 FROM ev WINDOW w AS (PARTITION BY filename, test_case_id)"""))
 def _(spark, sf):
     from failscope.operators.history import execution_duration
 
-    return execution_duration(logs_ev(spark, sf)).select("event_id", r("execution_duration", 3).alias("execution_duration"))
+    return execution_duration(logs_ev(spark, sf)).select("event_id", r("execution_duration").alias("execution_duration"))
 
 
 @query("b23_weekday_hour", """

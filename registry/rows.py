@@ -237,12 +237,12 @@ def _(spark, sf):
 @query("f05_time_since_last_failure", ev_sql("""
 SELECT event_id, round(coalesce(CASE WHEN status = 'FAIL' AND t IS NOT NULL THEN (epoch_us(t) - epoch_us(
   last_value(CASE WHEN status = 'FAIL' THEN t END IGNORE NULLS) OVER (PARTITION BY dut, test_case_id ORDER BY event_id
-   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) / 1e6 END, 0), 3) AS time_since_last_failure
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) / 1e6 END, 0), 6) AS time_since_last_failure
 FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN "timestamp" END AS t FROM ev)"""))
 def _(spark, sf):
     rows = logs_ev(spark, sf).withColumn("timestamp", F.when(F.col("event_id") % 7 != 0, F.col("timestamp")))
     out = H.time_since_last_failure(rows, [F.col("event_id")])
-    return out.select("event_id", r("time_since_last_failure", 3).alias("time_since_last_failure"))
+    return out.select("event_id", r("time_since_last_failure").alias("time_since_last_failure"))
 
 
 _HISTORY = """h AS (SELECT *, CAST(value < 10 AS INTEGER) AS is_anomaly FROM ev)"""
@@ -264,11 +264,11 @@ def _(spark, sf):
 
 @query("f07_offset_to_final_failure", ev_sql("""
 SELECT event_id, round(CASE WHEN status = 'FAIL' THEN (epoch_us("timestamp") - epoch_us(last_value(CASE WHEN status = 'FAIL' THEN "timestamp" END IGNORE NULLS)
-  OVER (PARTITION BY test_case_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 1e6 ELSE 0 END, 3) AS time_since_last_failure FROM ev"""))
+  OVER (PARTITION BY test_case_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 1e6 ELSE 0 END, 6) AS time_since_last_failure FROM ev"""))
 def _(spark, sf):
     rows = logs_ev(spark, sf).withColumnsRenamed({"fail_flag": "is_fail", "timestamp": "executiontime"})
     out = H.offset_to_final_failure(rows, [F.col("event_id")])
-    return out.select("event_id", r("time_since_last_failure", 3).alias("time_since_last_failure"))
+    return out.select("event_id", r("time_since_last_failure").alias("time_since_last_failure"))
 
 
 @query("f08_execution_frequency", ev_sql("""

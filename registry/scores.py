@@ -313,7 +313,7 @@ def _(spark, sf):
 @query("h26_unified_training_table", ev_sql("""
 SELECT filename, line_number, test_case_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') AS executiontime,
  round(coalesce(avg(fail_flag) OVER p, 0), 6) AS past_failure_rate,
- round(CASE WHEN fail_flag = 1 THEN (epoch_us("timestamp") - epoch_us(last_value(CASE WHEN fail_flag = 1 THEN "timestamp" END IGNORE NULLS) OVER a)) / 1e6 ELSE 0 END, 3) AS time_since_last_failure,
+ round(CASE WHEN fail_flag = 1 THEN (epoch_us("timestamp") - epoch_us(last_value(CASE WHEN fail_flag = 1 THEN "timestamp" END IGNORE NULLS) OVER a)) / 1e6 ELSE 0 END, 6) AS time_since_last_failure,
  count(*) OVER p AS execution_frequency, 0.0::DOUBLE AS avg_duration,
  CAST(regexp_matches(coalesce(snippet, ''), '(?i)fail|error|exception|abort') AS INTEGER) AS keyword_fail,
  coalesce(clu, -1) AS clusterlabel,
@@ -343,7 +343,7 @@ def _(spark, sf):
     out = unified_training_table(logs, classified, clusters, anomalies)
     return out.withColumns({
         "executiontime": F.date_format("executiontime", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-        "time_since_last_failure": r("time_since_last_failure", 3),
+        "time_since_last_failure": r("time_since_last_failure"),
         **{c: r(c) for c in ("past_failure_rate", "rolling_anomaly_rate", "mean_anomaly_score")}})
 
 
