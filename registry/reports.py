@@ -258,26 +258,26 @@ def _(spark, sf):
 
 
 @query("e23_top_mean_priority", ev_sql("""
-SELECT filename, round(avg(pred_prob * value), 6) AS mean_score FROM ev GROUP BY 1 ORDER BY avg(pred_prob * value) DESC, 1 LIMIT 10"""))
+SELECT filename, round(avg(sqrt(pred_prob * value)), 6) AS mean_score FROM ev GROUP BY 1 ORDER BY avg(sqrt(pred_prob * value)) DESC, 1 LIMIT 10"""))
 def _(spark, sf):
-    rows = logs_ev(spark, sf).withColumn("priority_score", F.col("pred_prob") * F.col("value"))
+    rows = logs_ev(spark, sf).withColumn("priority_score", F.sqrt(F.col("pred_prob") * F.col("value")))
     return T.top_mean(rows, "filename", "priority_score").withColumn("mean_score", r("mean_score"))
 
 
-_HEAT = """c AS (SELECT filename, dut, avg(pred_prob * value) AS m FROM ev GROUP BY 1, 2),
+_HEAT = """c AS (SELECT filename, dut, avg(sqrt(pred_prob * value)) AS m FROM ev GROUP BY 1, 2),
 b AS (SELECT filename FROM c GROUP BY 1 ORDER BY max(m) DESC, 1 LIMIT 40)"""
 
 
 @query("e24_risk_heat_map", ev_sql("SELECT filename, dut, round(m, 6) AS mean_score FROM c JOIN b USING (filename)", _HEAT))
 def _(spark, sf):
-    rows = logs_ev(spark, sf).withColumn("s", F.col("pred_prob") * F.col("value"))
+    rows = logs_ev(spark, sf).withColumn("s", F.sqrt(F.col("pred_prob") * F.col("value")))
     return T.risk_heat_map(rows, "filename", "dut", "s").withColumn("mean_score", r("mean_score"))
 
 
 @query("e24_risk_heat_map_wide", ev_sql("SELECT filename, " + ", ".join(
     f"round(coalesce(max(m) FILTER (dut = 'DUT{i}'), 0), 6) AS \"DUT{i}\"" for i in range(7)) + " FROM c JOIN b USING (filename) GROUP BY 1", _HEAT))
 def _(spark, sf):
-    rows = logs_ev(spark, sf).withColumn("s", F.col("pred_prob") * F.col("value"))
+    rows = logs_ev(spark, sf).withColumn("s", F.sqrt(F.col("pred_prob") * F.col("value")))
     duts = [f"DUT{i}" for i in range(7)]
     return T.risk_heat_map(rows, "filename", "dut", "s", duts).select("filename", *[r(d).alias(d) for d in duts])
 
