@@ -52,7 +52,13 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the inputs of the plan.
+
+    The estimate for the whole plan is of no use here: without column
+    statistics Spark multiplies the sizes of the two sides of a join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def sized(df: DataFrame) -> DataFrame:
