@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from failscope.llm import mixing, preference, quality, urls
+from failscope.llm import langid, mixing, neardup, preference, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(parts: int, key: str = "doc_id") -> Column:
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+def held_out(judged: DataFrame, parts: int, part: int) -> DataFrame:
+    """The rows, marked by the fold of their id; a null id is in no fold."""
+    return judged.withColumn("held_out", F.coalesce(fold(parts) == part, F.lit(False)))
+
+
 def op1_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     """The URLs that the rules decide are the labelled table of the method."""
     pages = table(spark, sf, "pages")
@@ -26,15 +36,31 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(documents, quality.fit(documents, table(spark, sf, "labels")))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    model = toxicity.learn(documents, table(spark, sf, "labels"), fold(5) != 0)
+    return held_out(toxicity.score(documents, model), 5, 0)
+
+
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return held_out(langid.predict(documents, langid.learn(documents, fold(4) != 2)), 4, 2)
+
+
 def op10_preference_chat(spark: SparkSession, sf: str) -> DataFrame:
     return preference.format_pairs(preference.replies_swapped(table(spark, sf, "conversations")))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op6_source_mixing, op10_preference_chat)}
+    f.__name__: f for f in (
+        op1_url_filters, op3_quality_rules, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op9_language_id, op10_preference_chat)}
 ORACLES: dict[str, str] = {
     "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL}

@@ -49,11 +49,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def portions(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one longer row."""
+def portions(off: np.ndarray, limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows, or of one longer row."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
         yield i, j
         i = j
 
