@@ -3,10 +3,12 @@
 Both classes have an interpolated Kneser-Ney model of order ``ORDER`` over the bytes
 of a word, so that an expression seen once is judged by its stem.  Orders up to
 ``SHARED`` are counted over both classes together: this is what either model backs
-off to.  A word's evidence is the difference of its two log-likelihoods; a text's
-evidence is the length-normalised difference of its most toxic window of ``WINDOW``
-words, and a logistic curve over that, fitted on the learning rows, gives the score.
-A word's evidence depends on the word alone and is computed once for each task.
+off to.  A word's evidence is the difference of its two log-likelihoods as far as it
+exceeds ``NOISE`` (ordinary words differ by chance); a text's evidence is the sum over
+its words, normalised by the root of their number.  A logistic curve gives the score;
+it is fitted on evidence from models of the other half of the learning rows, as a
+model's own rows would look too clear.  A word's evidence depends on the word alone
+and is computed once for each task.
 
 The models are fitted on a bounded sample of labelled rows (``FIT_ROWS`` of each
 class); every text is scored whole, in one pass without a shuffle.
@@ -31,8 +33,8 @@ from failscope.llm import textbuf as T
 
 FIT_ROWS = 5_000
 ORDER, SHARED = 6, 2
-DISCOUNT = 0.75
-WINDOW = 2
+DISCOUNT = 3.0
+NOISE = 2.0
 CACHE = 400_000
 #: White space and ASCII punctuation part words; every other byte is a letter.
 _LETTER = np.zeros(256, bool)
@@ -166,20 +168,14 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def text_evidence(column: pa.Array, values: WordValues) -> np.ndarray:
-    """Length-normalised evidence of the most toxic window of each text."""
+    """Length-normalised evidence of each text."""
     buf, off = T.buffers(column)
     out = [np.zeros(0)]
     for i, j in T.portions(off):
         low, starts, ends, row = tokens(buf[off[i]:off[j]], off[i:j + 1] - off[i])
-        best = np.full(j - i, -np.inf)
-        if len(starts):
-            found, inverse = values(low, starts, ends, T.range_hash(T.prefix_hash(low), starts, ends))
-            ratio = found[inverse, 0]
-            total = np.r_[0.0, np.cumsum(ratio)]
-            ends_at = np.cumsum(np.bincount(row, minlength=j - i))[row]  # window from each word, cut at the text's end
-            stop = np.minimum(np.arange(len(row)) + WINDOW, ends_at)
-            np.maximum.at(best, row, (total[stop] - total[:-1]) / WINDOW)
-        out.append(np.where(np.isinf(best), 0.0, best))
+        found, inverse = values(low, starts, ends, T.range_hash(T.prefix_hash(low), starts, ends))
+        above = np.maximum(found[inverse, 0] - NOISE, 0.0)
+        out.append(np.bincount(row, above, j - i) / np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1)))
     return np.concatenate(out)
 
 
@@ -195,37 +191,48 @@ def learn(documents: DataFrame, labels: DataFrame, learning: Column, fit_rows: i
         return Model([], [], rate=float(share or 0.0), usable=False)
     sample = known.where("toxic = 1").orderBy(F.xxhash64(key), key).limit(fit_rows).unionByName(
         known.where("toxic = 0").orderBy(F.xxhash64(key), key).limit(fit_rows))
-    rows = documents.select(key, "text").join(F.broadcast(sample), key).select("text", "toxic")
+    half = F.pmod(F.xxhash64(key), F.lit(7)) % 2
+    rows = documents.select(key, "text").join(F.broadcast(sample), key).select("text", "toxic", half.cast("int").alias("half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = T.buffers(batch.column(0))
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            kind = 2 * batch.column(2).to_numpy(zero_copy_only=False) + batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in T.portions(off):
                 low, starts, ends, row = tokens(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 uniq, first, inverse = np.unique(T.range_hash(T.prefix_hash(low), starts, ends), return_index=True, return_inverse=True)
-                raw = low.tobytes()
-                bad = np.bincount(inverse, toxic[i:j][row], len(uniq)).astype(np.int64)
-                yield pa.record_batch({
-                    "word": pa.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], pa.binary()),
-                    "ordinary": pa.array(np.bincount(inverse, minlength=len(uniq)) - bad), "toxic": pa.array(bad)})
-
-    counted = rows.mapInArrow(count, "word binary, ordinary bigint, toxic bigint").groupBy("word").agg(
-        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("word")
+                raw, of_word = low.tobytes(), kind[i:j][row]
+                yield pa.record_batch([
+                    pa.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], pa.binary()),
+                    *[pa.array(np.bincount(inverse[of_word == k], minlength=len(uniq))) for k in range(4)]], names=["word", "a", "b", "c", "d"])
+
+    counted = rows.mapInArrow(count, "word binary, a bigint, b bigint, c bigint, d bigint").groupBy("word").agg(
+        *[F.sum(c).alias(c) for c in "abcd"]).toArrow().sort_by("word")
     words = counted["word"].to_pylist()
     if not words:
         return Model([], [], rate=float(share), usable=False)
-    model = fit_model(words, np.column_stack([counted["ordinary"].to_numpy(), counted["toxic"].to_numpy()]).astype(float))
-    return calibrated(model, rows, float(share))
+    number = np.column_stack([counted[c].to_numpy() for c in "abcd"]).astype(float)
+    halves = []
+    for own in (number[:, 2:], number[:, :2]):
+        used = own.sum(axis=1) > 0
+        halves.append(fit_model([w for w, u in zip(words, used) if u], own[used]) if used.any() else None)
+    model = fit_model(words, number[:, :2] + number[:, 2:])
+    return calibrated(model, [h or model for h in halves], rows, float(share))
+
 
+def calibrated(model: Model, others: list[Model], rows: DataFrame, share: float) -> Model:
+    """The logistic curve over the evidence, with the classes weighted as in all labelled rows.
 
-def calibrated(model: Model, rows: DataFrame, share: float) -> Model:
-    """The logistic curve over the evidence, with the classes weighted as in all labelled rows."""
+    ``others`` are the models that judge the rows of each half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = WordValues(lambda w: evidence(w, model))
+        values = [WordValues(lambda w, m=m: evidence(w, m)) for m in others]
         for batch in batches:
-            yield pa.record_batch({"e": pa.array(text_evidence(batch.column(0), values)), "y": batch.column(1)})
+            half = batch.column(2).to_numpy(zero_copy_only=False)
+            for k in (0, 1):
+                part = batch.filter(pa.array(half == k))
+                yield pa.record_batch({"e": pa.array(text_evidence(part.column(0), values[k])), "y": part.column(1)})
 
     got = rows.mapInArrow(run, "e double, y int").toArrow().sort_by([("e", "ascending"), ("y", "ascending")])
     e, y = got["e"].to_numpy(), got["y"].to_numpy().astype(float)
