@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm import langid, mixing, neardup, preference, quality, toxicity, urls
+from failscope.llm import langid, mixing, neardup, preference, quality, suffixdup, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(documents, quality.fit(documents, table(spark, sf, "labels")))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixdup.dedup(table(spark, sf, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"))
 
@@ -61,6 +65,6 @@ def op10_preference_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_url_filters, op3_quality_rules, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op9_language_id, op10_preference_chat)}
+        op1_url_filters, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op9_language_id, op10_preference_chat)}
 ORACLES: dict[str, str] = {
     "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL}
