@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm import langid, mixing, neardup, preference, quality, suffixdup, toxicity, urls
+from failscope.llm import langid, mixing, neardup, perplexity, preference, quality, suffixdup, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return held_out(toxicity.score(documents, model), 5, 0)
 
 
+def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return held_out(perplexity.perplexity(documents, fold(5) == 1), 5, 1)
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     return held_out(langid.predict(documents, langid.learn(documents, fold(4) != 2)), 4, 2)
@@ -65,6 +70,6 @@ def op10_preference_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_url_filters, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op9_language_id, op10_preference_chat)}
+        op1_url_filters, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op8_lm_scoring, op9_language_id, op10_preference_chat)}
 ORACLES: dict[str, str] = {
     "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL}
