@@ -8,10 +8,10 @@ coordinates name the candidates; every link is confirmed on the full sets.
 
 Equal sets are one class from the start, so groups of copies cost one member.  Within
 a bucket of classes each member is first tested with one representative, the member
-whose buckets are the fullest (in a group of near copies: their common origin).  Only
-buckets that still hold several components go on, with twice as many representatives
-each time, until every pair of a bucket is tested or already connected.  No pair list
-of a group is made.  Components are found by alternating large and small stars.
+whose buckets are the fullest (in a group of near copies: their common origin).
+Members that stay outside of its component are tested with further representatives, in
+growing numbers, until they are connected or every member of the bucket was one.  No
+pair list of a group is made.  Components are found by alternating large and small stars.
 
 A pair at exactly 0.8 shares no bucket with probability (1 - 0.8^6)^32 = 6e-5.
 
@@ -24,7 +24,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,51 +175,65 @@ def _close(n: Column, m: Column, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
-def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the classes into the components of all links.
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """node and root of the classes that exact links join with others.
 
     ``classes`` has fp, n, key and bands; ``sets_of(nodes)`` gives the full sets.
     """
     rows = classes.select("fp", "n", "key", F.explode("bands").alias("bucket"))
     crowd = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     held = materialize(rows.join(crowd, "bucket"), "buckets")
-    fame = held.groupBy("fp").agg(F.sum("crowd").alias("fame"), F.first("n").alias("n"), F.first("key").alias("key"))
-    fame = materialize(fame, "members")
+    fame = materialize(held.groupBy("fp").agg(F.sum("crowd").alias("fame"), F.first("key").alias("key")), "members")
     sets = materialize(sets_of(fame.select("fp", "key")), "sets")
-    members = held.select("bucket", "fp", "n").join(fame.select("fp", "fame"), "fp")
+    members = materialize(held.select("bucket", "fp", "n").join(fame.select("fp", "fame"), "fp"), "placed")
 
     top = members.groupBy("bucket").agg(F.max(F.struct("fame", "fp", "n")).alias("rep"))
     pairs = (members.join(top, "bucket").where("fp <> rep.fp").where(_close(F.col("n"), F.col("rep.n"), percent))
              .select(F.least("fp", "rep.fp").alias("a"), F.greatest("fp", "rep.fp").alias("b")).distinct())
-    tested = [materialize(pairs, "tested")]
-    found = [materialize(_confirmed(tested[0], sets, percent), "links")]
-    last, reach = 1, 3
+    roots = components(_confirmed(pairs, sets, percent))
+
+    order = Window.partitionBy("bucket").orderBy(F.col("fame").desc(), F.col("fp").desc())
+    open_, last, reach = members, 1, 3
     while True:
-        linked = found[0] if len(found) == 1 else _union(found)
-        roots = components(linked)
-        placed = members.join(roots, F.col("fp") == F.col("node"), "left").select(
-            "bucket", "fp", "n", "fame", F.coalesce("root", "fp").alias("root"))
-        split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        split = split.where((F.col("lo") != F.col("hi")) & (F.col("size") > last + 1)).select("bucket")
-        if split.isEmpty():
-            return linked
-        open_ = materialize(placed.join(split, "bucket"), "open")
-        order = Window.partitionBy("bucket").orderBy(F.col("fame").desc(), F.col("fp").desc())
-        reps = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reach).where(F.col("rank") > last)
-        reps = reps.select("bucket", F.col("fp").alias("r"), F.col("n").alias("rn"), F.col("fame").alias("rfame"), F.col("root").alias("rroot"))
-        pairs = open_.join(reps, "bucket").where("root <> rroot").where(F.struct("fame", "fp") < F.struct("rfame", "r"))
-        pairs = pairs.where(_close(F.col("n"), F.col("rn"), percent)).select(F.least("fp", "r").alias("a"), F.greatest("fp", "r").alias("b")).distinct()
-        pairs = materialize(pairs.join(_union(tested), ["a", "b"], "left_anti"), "tested")
-        tested.append(pairs)
-        found.append(materialize(_confirmed(pairs, sets, percent), "links"))
-        last, reach = reach, 2 * reach + 1
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+        placed = open_.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+        if "rank" in placed.columns:
+            lead = placed.where("rank = 1").select("bucket", F.col("root").alias("lead"))
+        else:
+            lead = placed.groupBy("bucket").agg(F.max_by("root", F.struct("fame", "fp")).alias("lead"))
+        led = placed.join(lead, "bucket")
+        # Only members outside the component of the first one can still gain a link; a bucket
+        # without any, or with all its members tested as representatives, is done.
+        state = led.groupBy("bucket").agg(F.max(F.col("root") != F.col("lead")).alias("out"), F.count(F.lit(1)).alias("size"))
+        going = state.where(F.col("out") & (F.col("size") > last)).select("bucket")
+        open_ = led.join(going, "bucket", "left_semi")
+        if "rank" not in open_.columns:
+            open_ = open_.withColumn("rank", F.row_number().over(order))
+        open_ = materialize(open_, "open")
+        reps = open_.where((F.col("rank") > last) & (F.col("rank") <= reach)).select(
+            "bucket", F.col("fp").alias("r"), F.col("n").alias("rn"), F.col("root").alias("rroot"))
+        outside = open_.where("root <> lead").select("bucket", "fp", "n", "root")
+        pairs = outside.join(reps, "bucket").where("root <> rroot").where(_close(F.col("n"), F.col("rn"), percent)).select(
+            F.least("fp", "r").alias("a"), F.greatest("fp", "r").alias("b")).distinct()
+        if open_.isEmpty():
+            return roots
+        found = materialize(_confirmed(pairs, sets, percent), "links")
+        if not found.isEmpty():
+            roots = materialize(_merged(roots, found), "roots")
+        open_ = open_.drop("root", "lead")
+        last, reach = reach, 4 * reach
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Roots after more links, of which only those between the old components matter."""
+    def root_of(frame: DataFrame, column: str) -> DataFrame:
+        own = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+        return frame.join(own, F.col(column) == F.col("x"), "left").withColumn(column, F.coalesce("y", column)).drop("x", "y")
+
+    newer = components(root_of(root_of(found, "a"), "b")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(newer, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    # Classes that had no link before are their own old root.
+    fresh = newer.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return moved.unionByName(fresh)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -227,8 +241,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
     rows = materialize(sketched(documents, key, shingle_words), "sketches")
     # One row for each distinct set; its band keys are the same in every copy.
     classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    linked = links(classes, lambda nodes: _sets(documents, nodes, key, shingle_words), percent)
-    roots = components(linked)
+    roots = links(classes, lambda nodes: _sets(documents, nodes, key, shingle_words), percent)
     ids = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("least"))
     rooted = ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm import langid, mixing, neardup, perplexity, preference, quality, suffixdup, toxicity, urls
+from failscope.llm import contamination, langid, mixing, neardup, perplexity, preference, quality, suffixdup, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op1_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages, urls.labelled_by_rules(pages))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     return quality.judge(documents, quality.fit(documents, table(spark, sf, "labels")))
@@ -70,6 +74,6 @@ def op10_preference_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_url_filters, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op8_lm_scoring, op9_language_id, op10_preference_chat)}
+        op1_url_filters, op2_benchmark_decontamination, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op8_lm_scoring, op9_language_id, op10_preference_chat)}
 ORACLES: dict[str, str] = {
     "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL}
