@@ -24,15 +24,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from failscope.llm.rows import matched, text_hash
+
 WEIGHTS = (5, 2, 1)
 SLICES = 4096
 
 
 def with_size(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, source, words of the whole text, and the order's hash."""
+    """Key, th (text hash), source, words of the whole text, and the order's hash."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     order = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    return documents.select(F.col(key).alias("key"), "source", words.alias("size"), order.alias("ord"))
+    return documents.select(F.col(key).alias("key"), text_hash(), "source", words.alias("size"), order.alias("ord"))
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150) -> DataFrame:
@@ -54,14 +56,15 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
         "after_weight": F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))})
     fits = stepped.withColumn("level", level).withColumn(
         "valid", F.col("level") <= 2 * F.col("source_size") / F.col("weight"))
-    final = fits.withColumn("level", F.min(F.when(F.col("valid"), F.col("level"))).over(whole))
+    # The first level in this order that its source can take; from there on they fall.
+    final = fits.withColumn("level", F.max(F.when(F.col("valid"), F.col("level"))).over(whole))
     cap = (2 * F.col("source_size")).cast("double")
     return final.select("source", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap)).alias("target"))
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, seed: str = "mix",
         slices: int = SLICES, key: str = "doc_id") -> DataFrame:
-    """Key, source, size, source_size, target and copies of each document."""
+    """key, th, source, size, source_size, target and copies of each document."""
     sized = with_size(documents, key)
     digits = len(f"{slices - 1:x}")
     cell = sized.withColumns({
@@ -74,18 +77,27 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     starts = cells.select("source", "class", "slice", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
     placed = numbered.join(starts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
                            & (numbered["class"] == starts["class"]) & (numbered["slice"] == starts["slice"]))
-    placed = placed.select("key", "source", "size", (F.col("at") + F.col("before")).alias("number"))
+    placed = placed.select("key", "th", "source", "size", (F.col("at") + F.col("before")).alias("number"))
     aims = targets(sized, weights, percent).withColumnRenamed("source", "s")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 2.0**32
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("offset") + F.col("number") * F.col("rate")) - F.floor(F.col("offset") + (F.col("number") - 1) * F.col("rate"))
     return (placed.join(aims, F.col("source").eqNullSafe(F.col("s"))).withColumns({"offset": offset, "rate": rate})
-            .select(F.col("key").alias(key), "source", "size", "source_size", "target", crossed.cast("long").alias("copies")))
+            .select("key", "th", "source", "size", "source_size", "target", crossed.cast("long").alias("copies")))
 
 
-def taken(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+def taken(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix as words taken of each document."""
-    return mixed.select(key, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mix(documents, key=key, **options).select(
+        F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def emitted(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with all their columns and a ``copy`` number from 1."""
+    decided = mix(documents, key=key, **options).where("copies > 0").select("key", "th", "copies")
+    rows = matched(documents, decided, key).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_number"))
+    name = next(c for c in ("copy", "mix_copy", "mix_copy_number") if c not in documents.columns)
+    return rows.select("row.*", F.col("copy_number").alias(name))
 
 
 #: The same rules for DuckDB over the table ``documents``.
@@ -101,7 +113,7 @@ stepped AS (SELECT *,
     (sum(source_size) OVER ())::BIGINT AS whole
   FROM weighted WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
 levels AS (SELECT *, (whole * 150 / 100.0::DOUBLE - 2 * before_size) / after_weight AS level FROM stepped),
-final AS (SELECT *, min(CASE WHEN level <= 2 * source_size::DOUBLE / weight THEN level END) OVER () AS water FROM levels),
+final AS (SELECT *, max(CASE WHEN level <= 2 * source_size::DOUBLE / weight THEN level END) OVER () AS water FROM levels),
 aims AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, coalesce(water * weight, (2 * source_size)::DOUBLE)) AS target FROM final),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source
     ORDER BY CASE WHEN size = 0 THEN 0 ELSE length(ltrim(bin(size), '0')) END, substr(ord, 1, 3), ord, doc_id) AS number FROM sized),

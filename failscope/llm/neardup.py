@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failscope.llm import textbuf as T
+from failscope.llm.rows import matched, text_hash
 from failscope.storage import materialize
 
 COORDS, ROWS = 192, 6
@@ -104,22 +105,22 @@ def _fingerprints(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def sketched(documents: DataFrame, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """key, n_shingles, fp (of the set; null if empty) and the band keys of each row."""
+    """key, th (text hash), n (of shingles), fp (of the set; null if empty) and the band keys of each row."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = T.buffers(batch.column(1))
+            buf, off = T.buffers(batch.column(2))
             for i, j in T.portions(off):
                 sets, bounds = shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i], shingle_words)
                 keys = _bands(sketch(sets, bounds), ROWS)
                 empty = bounds[1:] == bounds[:-1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)),
-                    pa.array(_fingerprints(sets, bounds), pa.binary(), mask=empty), lists], names=["key", "n", "fp", "bands"])
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bounds)),
+                    pa.array(_fingerprints(sets, bounds), pa.binary(), mask=empty), lists], names=["key", "th", "n", "fp", "bands"])
 
-    return documents.select(key, "text").mapInArrow(run, f"key {kind}, n bigint, fp binary, bands array<bigint>")
+    return documents.select(key, text_hash(), "text").mapInArrow(run, f"key {kind}, th bigint, n bigint, fp binary, bands array<bigint>")
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, key: str, shingle_words: int) -> DataFrame:
@@ -238,6 +239,16 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """key, n_shingles, component_id and kept of each row."""
+    return grouped(documents, percent, key, shingle_words).withColumnRenamed("key", key).drop("th")
+
+
+def one_of_each(documents: DataFrame, percent: int = 80, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each group, with all its columns: the one with the group's least id."""
+    decided = grouped(documents, percent, key, shingle_words).select("key", "th", "kept")
+    return matched(documents, decided, key).where("kept AND nth = 1").select("row.*")
+
+
+def grouped(documents: DataFrame, percent: int, key: str, shingle_words: int) -> DataFrame:
     rows = materialize(sketched(documents, key, shingle_words), "sketches")
     # One row for each distinct set; its band keys are the same in every copy.
     classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -247,7 +258,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, key: str = "doc_id"
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     # Groups of one set keep the id of their least copy; only linked sets need the second join.
     named = rooted.join(lowest, "root").select(F.col("fp").alias("f"), "component")
-    out = rows.select("key", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
+    out = rows.select("key", "th", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
     component = F.when(F.col("fp").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("key", "th", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("key").eqNullSafe(component).alias("kept"))

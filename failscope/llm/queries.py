@@ -49,7 +49,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.taken(mixing.mix(table(spark, sf, "documents")))
+    return mixing.taken(table(spark, sf, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:

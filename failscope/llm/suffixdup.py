@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from failscope.llm import textbuf as T
+from failscope.llm.rows import text_hash
 from failscope.llm.suffixarray import long_matches, suffix_array
 from failscope.storage import materialize
 
@@ -146,11 +147,7 @@ def _contexts(documents: DataFrame, key: str, length: int, gram: int) -> DataFra
                 yield from flush()
         yield from flush()
 
-    return documents.select(key, _text_hash(), "text").mapInArrow(run, _schema(kind))
-
-
-def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+    return documents.select(key, text_hash(), "text").mapInArrow(run, _schema(kind))
 
 
 def _settle(rows: pa.Table, mixed: bool, length: int, last: bool) -> tuple[list[pa.RecordBatch], pa.Table, bool]:
@@ -224,7 +221,7 @@ def _with_text(documents: DataFrame, edges: DataFrame, key: str, length: int) ->
     """The edge contexts with their bytes; ``hot`` marks crowded anchors."""
     kind = documents.schema[key].dataType.simpleString()
     per_text = edges.groupBy("key", "th").agg(F.collect_list(F.struct("s", "e", "h", "many", "hot")).alias("items"))
-    texts = documents.select(F.col(key).alias("id"), _text_hash().alias("t"), "text")
+    texts = documents.select(F.col(key).alias("id"), text_hash("t"), "text")
     both = texts.join(per_text, F.col("id").eqNullSafe(F.col("key")) & (F.col("t") == F.col("th"))).select("key", "th", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +358,7 @@ def _cut(column: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, int, int]]:
 
 
 def _joined(documents: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(key).alias("id"), _text_hash().alias("t"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(key).alias("id"), text_hash("t"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("key")) & (F.col("t") == F.col("th")), "left")
     none = F.array().cast("array<struct<s:int,e:int>>")
     return joined.select("row", F.coalesce("spans", none).alias("spans"))
