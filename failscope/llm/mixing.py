@@ -10,7 +10,7 @@ target.
 The running sum needs no global sort: documents fall into cells (source, size
 class, slice of the key's hash), cell totals are summed along the cells, and only
 rows of one cell meet in a window.  A hot source is spread over ``slices`` cells for
-each of at most 64 size classes.
+each of at most 256 size classes (quarters of the powers of two).
 
 Defined cases: a null text has size 0; a source of size 0 has target 0; the null
 source comes last and is a source like any other; repeated rows are documents of
@@ -68,7 +68,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     sized = with_size(documents, key)
     digits = len(f"{slices - 1:x}")
     cell = sized.withColumns({
-        "class": F.when(F.col("size") == 0, 0).otherwise(F.length(F.bin("size"))),
+        "class": F.expr("CASE WHEN size = 0 THEN 0 ELSE 4 * length(bin(size)) + shiftright(size, greatest(length(bin(size)) - 3, 0)) % 4 END"),
         "slice": F.conv(F.substring("ord", 1, digits), 16, 10).cast("int") % slices})
     own = Window.partitionBy("source", "class", "slice")
     numbered = cell.withColumn("at", F.row_number().over(own.orderBy("ord", "key")))
@@ -116,7 +116,7 @@ levels AS (SELECT *, (whole * 150 / 100.0::DOUBLE - 2 * before_size) / after_wei
 final AS (SELECT *, max(CASE WHEN level <= 2 * source_size::DOUBLE / weight THEN level END) OVER () AS water FROM levels),
 aims AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, coalesce(water * weight, (2 * source_size)::DOUBLE)) AS target FROM final),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source
-    ORDER BY CASE WHEN size = 0 THEN 0 ELSE length(ltrim(bin(size), '0')) END, substr(ord, 1, 3), ord, doc_id) AS number FROM sized),
+    ORDER BY CASE WHEN size = 0 THEN 0 ELSE 4 * length(ltrim(bin(size), '0')) + (size >> greatest(length(ltrim(bin(size), '0')) - 3, 0)) % 4 END, substr(ord, 1, 3), ord, doc_id) AS number FROM sized),
 rated AS (SELECT n.doc_id, n.size, a.source_size, a.target, n.number,
     CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
     ('0x' || substr(md5('mix/' || coalesce(n.source, chr(0))), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS offs
