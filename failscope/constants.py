@@ -92,17 +92,27 @@ CATEGORY_CANDIDATES = [
     "regression_group", "schedule_cycle",
 ]
 CLUSTER_CANDIDATES = ["cluster_label", "clusterlabel", "cluster"]
-ACTUAL_CANDIDATES = [
-    "ActualStatus", "actualstatus", "actual", "Actual", "GroundTruth", "Label", "ActualLabel", "actual_label",
-]
-PREDICTED_CANDIDATES = [
-    "PredictedLabel", "predictedlabel", "predicted", "Prediction", "PredictedClass", "predicted_label",
-]
-SCORE_CANDIDATES = ["anomaly_score", "score", "anomalyScore"]
-MESSAGE_CANDIDATES = ["MessageSnippet", "log_message", "message", "msg"]
 ANOMALY_NUMERIC = ["execution_duration", "failure_freq_suite", "failure_freq_dut", "time_since_last_failure"]
 TRAINING_META = [
     "filename", "dut", "dut_version", "os_version", "config", "test_case_id", "suite", "run_date",
     "execution_duration", "failure_freq_suite", "failure_freq_dut", "recent_failure_flag",
 ]
 TRAINING_FEATURES = ["error_msg", "cluster", "root_cause_label", "keywords"]
+
+# The English stop words of Spark ML.
+SPARK_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he",
+    "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs",
+    "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but",
+    "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on",
+    "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll", "you'll", "he'll",
+    "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's",
+    "it's", "we're", "they're", "i've", "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't",
+    "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't",
+    "couldn't", "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's",
+    "where's", "who's", "why's", "would",
+]

@@ -32,7 +32,8 @@ def to_number_or_zero(text: Column) -> Column:
 
 def config_bucket(config: Column) -> Column:
     """Stable bucket in [0, 10^8); the reference's depends on the process."""
-    return F.pmod(F.xxhash64(F.coalesce(config, F.lit("nan"))), F.lit(100_000_000))
+    digits = F.substring(F.md5(F.coalesce(config, F.lit("nan"))), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint") % 100_000_000
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

@@ -25,7 +25,7 @@ from failscope.operators.vectors import (
     assemble, load_model, load_scaling, principal_axes, save_model, save_scaling, scale, scaling, tfidf, tfidf_model,
 )
 from failscope.sources.columns import present
-from failscope.storage import materialize, spread_small
+from failscope.storage import materialize, by_content
 
 EULER = 0.5772156649015329
 _SCALE = 1 << 30
@@ -42,12 +42,12 @@ def mean_path(n: int) -> float:
 
 
 def _dense(indices: Sequence, values: Sequence, width: int) -> np.ndarray:
+    """Sparse (indices, values) and dense (None, values) vectors as one matrix, filled at once."""
     out = np.zeros((len(values), width))
-    for i, (at, v) in enumerate(zip(indices, values)):
-        if at is None:
-            out[i, :len(v)] = v
-        else:
-            out[i, at] = v
+    sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
+    if sizes.sum():
+        columns = np.concatenate([np.arange(n) if at is None else np.asarray(at, np.int64) for at, n in zip(indices, sizes)])
+        out[np.repeat(np.arange(len(values)), sizes), columns] = np.concatenate([np.asarray(v, float) for v in values])
     return out
 
 
@@ -225,7 +225,7 @@ def detect_anomalies(df: DataFrame, row_id: str, order: Sequence[Column], text:
 
     The scores are offset so that the threshold is at 0.
     """
-    rows = spread_small(df)
+    rows = by_content(df)
     model = model or fit_anomaly_model(rows, row_id, text, trees, max_features, bigrams, seed)
     # Written once: the threshold and the row number would otherwise score again.
     scored = materialize(model.score(rows), "scores")

@@ -16,7 +16,7 @@ from failscope.functions.values import flag, is_fail, to_number_or_zero
 from failscope.operators.encode import target_encode, weight_column
 from failscope.operators.vectors import tfidf_model
 from failscope.sources.columns import add_missing, present, resolve
-from failscope.storage import spread_small
+from failscope.storage import by_content
 
 LOW_CONFIDENCE = 0.6
 
@@ -24,7 +24,7 @@ LOW_CONFIDENCE = 0.6
 def status_classifier(train: DataFrame, text: str = "error_msg", label: str = "label", trees: int = 300,
                       depth: int = 30, max_features: int = 5000, seed: int = 42) -> PipelineModel:
     """Random forest on TF-IDF of the message."""
-    train = spread_small(train.select(text, label))
+    train = by_content(train.select(text, label))
     vectors = tfidf_model(train, text, max_features)
     filled = train.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     index = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
@@ -76,7 +76,7 @@ def risk_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def risk_model(train: DataFrame, features: Sequence[str], target: str = "isFail", rounds: int = 400, depth: int = 6,
                rate: float = 0.05, seed: int = 42) -> PipelineModel:
     """Gradient-boosted failure model with the positive class weighted up."""
-    weighted = spread_small(weight_column(train.select(target, *features), target))
+    weighted = by_content(weight_column(train.select(target, *features), target))
     boost = GBTClassifier(
         featuresCol="__x", labelCol=target, weightCol="weight", predictionCol="__pred", maxIter=rounds, maxDepth=depth,
         stepSize=rate, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed)

@@ -15,12 +15,15 @@ from failscope.operators.repair import with_status
 from failscope.operators.vectors import tfidf, tfidf_model
 from failscope.sources.columns import require
 
+RESTARTS = tuple(range(42, 52))
 
-def best_kmeans(df: DataFrame, vector: str, k: int = 10, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 20) -> KMeansModel:
-    """The model with the lowest cost over several starts."""
+
+def best_kmeans(df: DataFrame, vector: str, k: int = 10, seeds: Sequence[int] = RESTARTS, max_iter: int = 300,
+                tolerance: float = 1e-4) -> KMeansModel:
+    """The model with the lowest cost over several starts, each until its centres move less than ``tolerance``."""
     points = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=vector, predictionCol="cluster").fit(points)
+        fits = [KMeans(k=k, seed=s, maxIter=max_iter, tol=tolerance, featuresCol=vector, predictionCol="cluster").fit(points)
                 for s in seeds]
         return min(fits, key=lambda m: m.summary.trainingCost)
     finally:
@@ -40,7 +43,7 @@ def encode_messages(df: DataFrame, text: str, encoder: Callable[[list[str]], Seq
 
 
 
-def cluster_failures(df: DataFrame, k: int = 10, seeds: Sequence[int] = (42, 43, 44), embedding: str | None = None,
+def cluster_failures(df: DataFrame, k: int = 10, seeds: Sequence[int] = RESTARTS, embedding: str | None = None,
                      max_features: int = 2000) -> DataFrame:
     """Cluster number on FAIL rows, -1 on all others.
 
@@ -57,6 +60,6 @@ def cluster_failures(df: DataFrame, k: int = 10, seeds: Sequence[int] = (42, 43,
         text = tfidf_model(failures, "error_msg", max_features, bigrams=False, output="__v")
         vectorise = lambda part: tfidf(part, text, "error_msg", "__v")
     model = best_kmeans(vectorise(failures), "__v", k, seeds)
-    # The model is applied to every row in place, so no join by row id is needed.
-    scored = model.transform(vectorise(rows))
-    return scored.select(*rows.columns, F.when(F.col("status") == "FAIL", F.col("cluster")).otherwise(F.lit(-1)).alias("cluster"))
+    scored = model.transform(vectorise(failures)).select(*rows.columns, "cluster")
+    others = rows.filter(~F.col("status").eqNullSafe("FAIL")).select(*rows.columns, F.lit(-1).alias("cluster"))
+    return scored.unionByName(others)

@@ -36,12 +36,10 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequenc
         F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
     if labels is None:
         found = counted.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
-        labels = sorted(row[0] for row in found.limit(1001).collect())
-        if len(labels) > 1000:
-            raise ValueError("more than 1000 classes; a full matrix has no use, group the pairs instead")
-    values = F.array(*[F.lit(v) for v in labels])
-    grid = df.sparkSession.range(1).select(F.explode(values).alias("actual")).select(
-        "actual", F.explode(values).alias("predicted"))
+    else:
+        found = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in labels])).alias("label"))
+    # The matrix has a row for every pair of classes by definition.
+    grid = found.select(F.col("label").alias("actual")).crossJoin(found.select(F.col("label").alias("predicted")))
     return grid.join(counted, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("count", F.lit(0)).alias("count"))
 

@@ -24,12 +24,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from failscope.storage import materialize
 
 MAX_GROUP_ROWS = 5_000_000
-MAX_CHUNKS = 20_000
 _ORDER = "__ord"
 _CHUNK = "__chunk"
 
@@ -85,9 +84,15 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return (row[0] or 0), (row[1] or 0)
 
 
-def _local(step: _Step, rows: Window, ahead: Window) -> Column:
+def _backwards(window: WindowSpec, order: Sequence[Column]) -> WindowSpec:
+    """The rows from each one on, as those up to it in falling order: frames that start at the
+    current row are evaluated anew for every row, frames that end there are not."""
+    return window.orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _local(step: _Step, rows: WindowSpec, ahead: WindowSpec) -> Column:
     if step.kind == "next":
-        return F.first(step.value, ignorenulls=True).over(ahead)
+        return F.last(step.value, ignorenulls=True).over(ahead)
     frame = rows.rowsBetween(Window.unboundedPreceding, 0 if step.inclusive else -1)
     if step.kind == "sum":
         return F.coalesce(F.sum(step.value).over(frame), F.lit(0))
@@ -101,10 +106,11 @@ def _partial(step: _Step, order: Column) -> Column:
     return pick(step.value, F.when(step.value.isNotNull(), order))
 
 
-def _carry(step: _Step, name: str, chunks: Window) -> Column:
+def _carry(step: _Step, name: str, of_key: WindowSpec) -> Column:
     if step.kind == "next":
-        return F.first(name, ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing))
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+        after = of_key.orderBy(F.col(_CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(name, ignorenulls=True).over(after)
+    before = of_key.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     if step.kind == "sum":
         return F.sum(name).over(before)
     return F.last(name, ignorenulls=True).over(before)
@@ -119,8 +125,8 @@ def _combine(step: _Step, local: Column, carry: Column) -> Column:
 def chunk_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, target: int) -> DataFrame:
     """Write ``df`` range-partitioned by (keys, order), numbered by chunk."""
     ordered = df.withColumn(_ORDER, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    # A shuffle into many more partitions than this costs more than larger chunks do.
-    chunks = min(max(1, -(-total // target)), MAX_CHUNKS)
+    # All cores get a chunk at least, however few rows there are.
+    chunks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // target))
     spread = ordered.repartitionByRange(chunks, *[F.col(k) for k in keys], F.col(_ORDER))
     return materialize(spread.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
 
@@ -138,7 +144,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     if keys and largest <= limit:
         rows = Window.partitionBy(*keys).orderBy(*order)
-        ahead = rows.rowsBetween(0, Window.unboundedFollowing)
+        ahead = _backwards(Window.partitionBy(*keys), order)
         parts = {(name, i): _local(step, rows, ahead) for name, i, step in steps}
         return df.withColumns({
             name: col.finish(*[parts[name, i] for i in range(len(col.steps))]) for name, col in columns.items()
@@ -146,18 +152,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     base = chunk_rows(df, keys, order, total, limit)
     in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(_ORDER)
-    ahead = in_chunk.rowsBetween(0, Window.unboundedFollowing)
+    ahead = _backwards(Window.partitionBy(*keys, _CHUNK), [F.col(_ORDER)])
     local = base.withColumns({f"__l_{name}_{i}": _local(step, in_chunk, ahead) for name, i, step in steps})
 
     totals = base.groupBy(*keys, _CHUNK).agg(
         *[_partial(step, F.col(_ORDER)).alias(f"__p_{name}_{i}") for name, i, step in steps])
     of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    chunks = of_key.orderBy(_CHUNK)
     carried = totals.select(
         *[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)],
         F.col(_CHUNK).alias("__c"),
         F.count(F.lit(1)).over(of_key).alias("__n"),
-        *[_carry(step, f"__p_{name}_{i}", chunks).alias(f"__c_{name}_{i}") for name, i, step in steps],
+        *[_carry(step, f"__p_{name}_{i}", of_key).alias(f"__c_{name}_{i}") for name, i, step in steps],
     ).filter("__n > 1")
     # At most two rows per chunk (see the module text), hence safe to broadcast.
     same = [F.col(_CHUNK) == F.col("__c")] + [

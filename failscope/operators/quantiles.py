@@ -1,8 +1,7 @@
 """Exact, linearly interpolated quantiles with bounded memory.
 
 Spark's ``percentile`` keeps every distinct value of the column in one task.
-Here that is only done for a small column.  Otherwise the wanted ranks are
-bracketed with ``percentile_approx`` (whose rank error is bounded), the bracket
+Here the column is written once, and the wanted ranks are bracketed with ``percentile_approx`` (whose rank error is bounded), the bracket
 is counted exactly, and the step repeats inside it until few distinct values
 are left.  Each step shrinks a bracket by a few thousand, so two or three
 passes over the one column are enough at any size.
@@ -16,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from failscope.storage import materialize
+
 SMALL = 200_000
 ACCURACY = 10_000
 
@@ -24,12 +25,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], small: i
     """The values at ``probs`` of the non-null, non-NaN values of ``column``."""
     small = small or SMALL
     value = F.col(column).cast("double")
-    x = df.select(F.when(~F.isnan(value), value).alias("x")).filter("x is not null")
+    x = materialize(df.select(F.when(~F.isnan(value), value).alias("x")).filter("x is not null"), "column")
     n = x.count()
     if n == 0:
         return [None for _ in probs]
-    if n <= small:
-        return list(x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
     places = [(n - 1) * p for p in probs]
     found = _values_at(x, n, {r for at in places for r in (math.floor(at), math.ceil(at))}, small)
     return [_line(found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)) for at in places]

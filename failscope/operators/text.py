@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from failscope import constants as K
 from failscope.functions.parse import tokens
 from failscope.operators.dedupe import top_per_key, top_rows
-from failscope.storage import sized, spread_small
+from failscope.storage import materialize, sized, spread_small
 
 
 def keyword_ranks(df: DataFrame, group: str, message: str, order: Column, top: int = 5,
@@ -52,17 +52,16 @@ def attach_keywords(df: DataFrame, keywords: DataFrame, group: str = "cluster")
                       .otherwise(F.coalesce("keywords", F.array().cast("array<string>"))).alias("keywords"))
 
 
-def tfidf_weights(df: DataFrame, row_id: str, group: str, message: str, max_features: int = 3000) -> DataFrame:
+def tfidf_weights(df: DataFrame, row_id: str, group: str, message: str, max_features: int = 3000,
+                  stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> DataFrame:
     """(row, group, term, weight): smoothed TF-IDF, L2-normalised per row, over the most frequent terms."""
-    spark_stop = stop_words_english(df)
     docs = df.select(row_id, group, F.coalesce(F.col(message), F.lit("")).alias("__text"))
-    # Hash on the row id alone also clusters (row, term), so the count below and
-    # the norm need no further shuffle of the terms.
-    words = docs.repartition(row_id).select(
+    # Counted where the text is read; only (row, term, count) is shuffled and written, for both uses below.
+    words = docs.select(
         row_id, group,
         F.explode(F.filter(F.regexp_extract_all(F.lower("__text"), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)),
-                           lambda w: ~w.isin(spark_stop))).alias("term"))
-    counts = words.groupBy(row_id, group, "term").agg(F.count(F.lit(1)).alias("tf"))
+                           lambda w: ~w.isin(list(stop_words)))).alias("term"))
+    counts = materialize(words.groupBy(row_id, group, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
     documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocabulary = top_rows(
         counts.groupBy("term").agg(F.sum("tf").alias("__all"), F.count(F.lit(1)).alias("df")),
@@ -88,13 +87,6 @@ def tfidf_keywords(df: DataFrame, row_id: str, group: str, message: str, top: in
     return top_per_key(rounded, [group], [F.col("__r").desc(), F.col("term")], top).drop("__r")
 
 
-def stop_words_english(df: DataFrame) -> list[str]:
-    """Spark's own English stop-word list."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def cluster_examples(df: DataFrame, keywords: DataFrame, order: Column, group: str = "cluster",
                      message: str = "error_msg", label: str = "root_cause_label", k: int = 3) -> DataFrame:
     """Per cluster: most frequent label, keywords, first ``k`` messages joined by `` | ``."""

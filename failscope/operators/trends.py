@@ -50,8 +50,15 @@ def cluster_counts_if_several(df: DataFrame, by: str = "suite", cluster: str = "
     return counted.filter(several > 1)
 
 
-def monthly_counts(df: DataFrame, date: str, column: str, values: Sequence[object]) -> DataFrame:
-    """Rows per month, one column per listed value, 0 where there are none."""
+def monthly_counts(df: DataFrame, date: str, column: str, values: Sequence[object] | None = None) -> DataFrame:
+    """Rows per month, one column per value, 0 where there are none.
+
+    Without ``values`` they are those of the dated rows, in order; each is a column of
+    the result, so they are few.
+    """
+    if values is None:
+        found = df.filter(F.col(date).isNotNull() & F.col(column).isNotNull()).select(column).distinct()
+        values = sorted(row[0] for row in found.collect())
     month = F.trunc(F.col(date).cast("date"), "month").alias("month")
     return df.filter(F.col(date).isNotNull()).groupBy(month).agg(
         *[F.count_if(F.col(column) == v).alias(str(v)) for v in values])

@@ -16,16 +16,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from failscope import constants as K
+
 
 def tfidf_model(df: DataFrame, text: str, max_features: int = 5000, bigrams: bool = True,
-                output: str = "tfidf") -> PipelineModel:
+                output: str = "tfidf", stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> PipelineModel:
     """Fitted smoothed TF-IDF with L2 norm.
 
     Spark's IDF lacks the "+ 1" of the smoothed form, hence the term counts are
     multiplied with ``idf + 1``.
     """
     words = RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"(?U)\b\w\w+\b", gaps=False)
-    kept = StopWordsRemover(inputCol="__tokens", outputCol="__words")
+    kept = StopWordsRemover(inputCol="__tokens", outputCol="__words", stopWords=list(stop_words))
     head: list = [words, kept]
     terms = "__words"
     if bigrams:

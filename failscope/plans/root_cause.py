@@ -61,5 +61,5 @@ def correlation_tables(df: DataFrame) -> dict[str, DataFrame]:
         "by_config": cluster_counts(rows, "config"),
         "by_suite": cluster_counts_if_several(rows, "suite"),
         "by_month": monthly_counts(
-            rows.withColumn("run_date", F.col("run_date").try_cast("timestamp")), "run_date", "cluster", list(K.ROOT_CAUSES)),
+            rows.withColumn("run_date", F.col("run_date").try_cast("timestamp")), "run_date", "cluster"),
     }

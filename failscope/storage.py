@@ -1,38 +1,42 @@
 """Cutting lineage with a table written to the cluster's shared folder.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  A table
+The folder is the one the session names in ``spark.checkpoint.dir``, else one below its
+warehouse; both are shared by driver and executors.  Tables of a run lie in a folder of
+their own, which :func:`release` removes.  A table
 (rather than an RDD checkpoint) keeps column pruning and file statistics for
 the readers, and survives the loss of any executor.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+_RUN = f"run-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if "dir" not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="failscope-")
-    return _LOCAL_FALLBACK["dir"]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work").rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/failscope/{_RUN}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables of this run; frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and read it back, so later branches see one fixed result."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/failscope/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +55,16 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def by_content(df: DataFrame) -> DataFrame:
+    """Rows dealt by a hash of their values, for fits whose bagging depends on the layout.
+
+    The layout then depends on the rows and ``spark.sql.shuffle.partitions`` alone, not on
+    the files, the size or the cores.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind != "vector"]))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of the inputs of the plan.
 

@@ -405,7 +405,8 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", V.to_number_or_zero(text).alias("x"))
 
 
-@query("b21_config_bucket")
+@query("b21_config_bucket", ev_sql(
+    "SELECT event_id, CAST(('0x' || substr(md5(suite), 1, 15))::BIGINT % 100000000 AS BIGINT) AS config_hash FROM ev"))
 def _(spark, sf):
     return logs_ev(spark, sf).select("event_id", V.config_bucket(F.col("suite")).alias("config_hash"))
 

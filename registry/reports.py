@@ -181,22 +181,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(mean_weigh
 SELECT source, term, round(mean_weight, 5) AS mean_weight FROM k WHERE i <= 5"""
 
 
-def _spark_english() -> list[str]:
-    """The list as shipped with Spark, read from the library, not written here."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-    return []
-
-
 @query("e18_tfidf_keywords", _TFIDF.replace(
-    "STOPS", ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_english() if w)))
+    "STOPS", ", ".join("'" + w.replace("'", "''") + "'" for w in K.SPARK_STOP_WORDS)))
 def _(spark, sf):
     out = X.tfidf_keywords(table(spark, sf, "documents"), "doc_id", "source", "text")
     return out.withColumn("mean_weight", r("mean_weight", 5))

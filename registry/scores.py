@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from failscope import constants as K
 from failscope.functions import values as V
 from failscope.operators import anomaly as A
 from failscope.operators import classify as C
@@ -17,9 +18,8 @@ from failscope.operators import vectors as X
 from failscope.plans.prioritise import test_case_features, unified_training_table
 from failscope.storage import materialize
 from registry.base import ev_sql, logs_ev, query, r, table
-from registry.reports import _spark_english
 
-_ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_english() if w)
+_ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in K.SPARK_STOP_WORDS)
 
 
 @query("g07_horizontal_blocks", """

@@ -13,4 +13,7 @@ def spark():
 
     session = local_session(8, shuffle_partitions=4)
     yield session
+    from failscope.storage import release
+
+    release(session)
     session.stop()
