@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -43,6 +44,16 @@ def encode_messages(df: DataFrame, text: str, encoder: Callable[[list[str]], Seq
 
 
 
+def message_vectors(df: DataFrame, text: str, width: int = 100, seed: int = 42, output: str = "embedding") -> DataFrame:
+    """Embedding of each message as the mean of its word vectors, fitted on the messages themselves.
+
+    A message without a word has the zero vector.
+    """
+    split = df.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\W+"), lambda w: w != ""))
+    model = Word2Vec(vectorSize=width, minCount=1, seed=seed, inputCol="__words", outputCol="__v").fit(split.select("__words"))
+    return model.transform(split).select(*df.columns, vector_to_array("__v").alias(output))
+
+
 def cluster_failures(df: DataFrame, k: int = 10, seeds: Sequence[int] = RESTARTS, embedding: str | None = None,
                      max_features: int = 2000) -> DataFrame:
     """Cluster number on FAIL rows, -1 on all others.

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from failscope import constants as K
@@ -19,6 +19,10 @@ from failscope.plans.prioritise import test_case_features, unified_training_tabl
 from failscope.storage import materialize
 from registry.base import ev_sql, logs_ev, query, r, table
 
+#: Trees of the registered forests (the operator's default), and boosting rounds: each is a row of
+#: Spark jobs, so these are fewer than the 400 of the operator's default.
+FOREST, BOOSTS = 300, 20
+
 _ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in K.SPARK_STOP_WORDS)
 
 
@@ -51,11 +55,20 @@ def _(spark, sf):
         r(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), 5).alias("weight_sum"))
 
 
-@query("h01_tfidf_bigrams")
+@query("h01_tfidf_bigrams", ev_sql("""
+SELECT d.event_id, count(w) AS terms, round(coalesce(sum(w) / sqrt(sum(w * w)), 0), 5) AS weight_sum FROM ev d LEFT JOIN x USING (event_id) GROUP BY 1""", f"""
+l AS (SELECT event_id, list_filter(regexp_extract_all(lower(coalesce(error_msg, '')), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}'), lambda t: t NOT IN ({_ENGLISH})) AS ws FROM ev),
+t AS (SELECT event_id, unnest(ws) AS term FROM l
+  UNION ALL SELECT event_id, unnest(list_transform(list_zip(ws[1:len(ws) - 1], ws[2:]), lambda p: p[1] || ' ' || p[2])) FROM l WHERE len(ws) > 1),
+c AS (SELECT event_id, term, count(*) AS tf FROM t GROUP BY ALL),
+v AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+x AS (SELECT event_id, tf * (ln((1 + (SELECT count(*) FROM ev)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term))"""))
 def _(spark, sf):
     logs = logs_ev(spark, sf).select("event_id", "error_msg")
     model = X.tfidf_model(logs, "error_msg", max_features=5000)
-    return X.tfidf(logs, model, "error_msg").select("event_id", F.size(F.unwrap_udt("tfidf")["values"]).alias("terms"))
+    values = F.unwrap_udt("tfidf")["values"]
+    return X.tfidf(logs, model, "error_msg").select(
+        "event_id", F.size(values).cast("bigint").alias("terms"), r(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), 5).alias("weight_sum"))
 
 
 @query("h02_standard_scaling", """
@@ -67,25 +80,31 @@ def _(spark, sf):
     return out.select("event_id", r("value_scaled").alias("value_scaled"), r("same_scaled").alias("same_scaled"))
 
 
-@query("h03_kmeans_clusters")
+@query("h03_kmeans_clusters", """
+SELECT vec_id, label, TRUE AS nearest, CAST(10 AS BIGINT) AS clusters, TRUE AS best_of_starts FROM embeddings""")
 def _(spark, sf):
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = L.best_kmeans(rows, "v", k=10, seeds=(42, 43))
-    return model.transform(rows).select("vec_id", "label", "cluster")
-
-
-def _letters(texts: list[str]) -> list[list[float]]:
-    """Letter counts: a stand-in for the encoder a user brings."""
-    return [np.bincount([ord(ch) % 16 for ch in t] or [0], minlength=16).astype(float).tolist() for t in texts]
+    """Every row has the centre nearest to it, ten clusters are used, and no single start costs less."""
+    array = F.col("embedding").cast("array<double>")
+    rows = materialize(table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(array).alias("v")), "points")
+    model = L.best_kmeans(rows, "v", k=10)
+    single = L.best_kmeans(rows, "v", k=10, seeds=(42,))
+    placed = model.transform(rows).withColumn("x", vector_to_array("v"))
+    centres = F.array(*[F.array(*[F.lit(float(c)) for c in centre]) for centre in model.clusterCenters()])
+    far = F.transform(centres, lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    checked = placed.withColumn("nearest", F.get(far, F.col("cluster")) <= F.array_min(far) + 1e-9)
+    used = placed.agg(F.count_distinct("cluster").alias("n")).scalar()
+    return checked.select("vec_id", "label", "nearest", used.alias("clusters"),
+                          F.lit(model.summary.trainingCost <= single.summary.trainingCost + 1e-9).alias("best_of_starts"))
 
 
-@query("h04_message_embedding")
+@query("h04_message_embedding", ev_sql("SELECT event_id, CAST(32 AS BIGINT) AS width, TRUE AS equal_for_equal_text, error_msg IS NULL AS is_zero FROM ev"))
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
-    out = L.encode_messages(rows, "text", _letters)
-    return out.select("doc_id", F.size("embedding").alias("width"),
-                      F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b).alias("letters"))
+    """Word vectors: of the set width, equal for equal messages, zero only without words."""
+    rows = logs_ev(spark, sf).select("event_id", "error_msg")
+    out = L.message_vectors(rows, "error_msg", width=32, output="e")
+    first = F.min_by("e", "event_id").over(Window.partitionBy("error_msg"))
+    return out.select("event_id", F.size("e").cast("bigint").alias("width"), (F.col("e") == first).alias("equal_for_equal_text"),
+                      F.forall("e", lambda x: x == 0).alias("is_zero"))
 
 
 def _training(spark, sf):
@@ -93,26 +112,47 @@ def _training(spark, sf):
         "event_id", "test_case_id", "filename", "dut", "suite", "cluster", "error_msg", F.col("status").alias("label"))
 
 
-@query("h05_status_classifier")
+_HELD = """held AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id)
+  <= round(0.2 * count(*) OVER (PARTITION BY status)) AS is_test FROM ev)"""
+
+
+@query("h05_status_classifier", ev_sql("""
+SELECT status AS actualstatus, count(*) AS rows, TRUE AS known_right, TRUE AS mostly_right FROM held WHERE is_test GROUP BY 1""", _HELD))
 def _(spark, sf):
+    """Of the held-out rows, those with a message name their status in it: all right; of all rows 70 % at least."""
     rows = materialize(N.stratified_split(_training(spark, sf), "label", "event_id"), "training")
-    model = C.status_classifier(rows.filter("is_test = 0"), trees=10, depth=8, max_features=200)
-    return C.classified(rows.filter("is_test = 1"), model).groupBy("actualstatus", "predictedlabel").agg(
-        F.count("*").alias("rows"))
+    model = C.status_classifier(rows.filter("is_test = 0"), trees=FOREST, depth=30, max_features=5000)
+    out = materialize(C.classified(rows.filter("is_test = 1"), model), "classified")
+    right = (F.col("actualstatus") == F.col("predictedlabel"))
+    share = out.agg(F.avg(right.cast("double")).alias("s")).scalar()
+    return out.groupBy("actualstatus").agg(
+        F.count("*").alias("rows"), F.min(right | (F.col("errormsg") == "")).alias("known_right")).withColumn("mostly_right", share >= 0.7)
 
 
-@query("h06_confidence_and_output")
+@query("h06_confidence_and_output", ev_sql("""
+SELECT test_case_id, filename, dut, suite, cluster AS cluster_label, status AS actualstatus, coalesce(error_msg, '') AS errormsg,
+ TRUE AS known_label, TRUE AS share, TRUE AS flag_fits FROM ev"""))
 def _(spark, sf):
+    """Confidence is a share of three classes, and the flag follows from it."""
     rows = _training(spark, sf)
-    model = C.status_classifier(rows, trees=5, depth=6, max_features=100)
-    return C.classified(rows, model)
+    out = C.classified(rows, C.status_classifier(rows, trees=FOREST, depth=30, max_features=5000))
+    c = F.col("confidence")
+    return out.select("test_case_id", "filename", "dut", "suite", "cluster_label", "actualstatus", "errormsg",
+                      F.col("predictedlabel").isin("PASS", "FAIL", "ABORT").alias("known_label"), ((c > 0.33) & (c <= 1.0 + 1e-9)).alias("share"),
+                      (F.col("lowconfidenceflag") == (c < 0.6).cast("int")).alias("flag_fits"))
 
 
-@query("h07_classified_counts", ev_sql("SELECT status AS actualstatus, count(*) AS rows FROM ev GROUP BY 1"))
+@query("h07_classified_counts", ev_sql("""
+SELECT status AS actualstatus, count(*) AS rows, count(DISTINCT filename || '/' || coalesce(error_msg, '')) AS messages,
+ count(*) FILTER (error_msg IS NOT NULL) AS with_message, count(*) FILTER (error_msg IS NOT NULL) AS right_with_message FROM ev GROUP BY 1"""))
 def _(spark, sf):
-    rows = _training(spark, sf)
-    model = C.status_classifier(rows, trees=3, depth=4, max_features=50)
-    return C.classified(rows, model).groupBy("actualstatus").agg(F.count("*").alias("rows"))
+    """The output has train and test rows, and the status of every message that names it."""
+    rows = materialize(N.stratified_split(_training(spark, sf), "label", "event_id"), "training")
+    model = C.status_classifier(rows.filter("is_test = 0"), trees=FOREST, depth=30, max_features=5000)
+    return C.classified(rows, model).groupBy("actualstatus").agg(
+        F.count("*").alias("rows"), F.count_distinct(F.concat_ws("/", "filename", "errormsg")).alias("messages"),
+        F.count_if(F.col("errormsg") != "").alias("with_message"),
+        F.count_if((F.col("errormsg") != "") & (F.col("predictedlabel") == F.col("actualstatus"))).alias("right_with_message"))
 
 
 def _anomaly_input(spark, sf):
@@ -121,10 +161,16 @@ def _anomaly_input(spark, sf):
         F.col("pred_prob").alias("time_since_last_failure"))
 
 
-@query("h08_isolation_forest")
+@query("h08_isolation_forest", ev_sql("""
+SELECT event_id, row_number() OVER (ORDER BY event_id) AS "LogID", coalesce(substr(error_msg, 1, 150), '') || '...' AS "MessageSnippet", TRUE AS flag_fits, TRUE AS share_fits FROM ev"""))
 def _(spark, sf):
-    out = A.detect_anomalies(_anomaly_input(spark, sf), "event_id", [F.col("event_id")], trees=50, max_features=200)
-    return out.select("event_id", "LogID", "MessageSnippet", "anomaly_score", "is_anomaly")
+    """Dense row numbers, snippets, the flag below the exact 5 % quantile, and as many flags as that allows."""
+    out = materialize(A.detect_anomalies(_anomaly_input(spark, sf), "event_id", [F.col("event_id")]), "anomalies")
+    q = out.agg(F.percentile("anomaly_score", F.lit(0.05)).alias("q")).scalar()
+    flagged = out.agg((F.sum("is_anomaly") <= F.ceil(F.count("*") * 0.05)).alias("b")).scalar()
+    fits = F.col("is_anomaly") == ((F.col("anomaly_score") < q) & (F.col("anomaly_score") < 0)).cast("int")
+    return out.select("event_id", "LogID", F.coalesce("MessageSnippet", F.lit("")).alias("MessageSnippet"), fits.alias("flag_fits"),
+                      flagged.alias("share_fits"))
 
 
 @query("h09_anomaly_flag", """
@@ -134,10 +180,20 @@ def _(spark, sf):
     return A.anomaly_flags(rows).select("event_id", "is_anomaly")
 
 
-@query("h10_principal_axes")
+_AXES = """SELECT count(*) AS rows, TRUE AS centred, TRUE AS uncorrelated, TRUE AS in_order, TRUE AS beats_columns FROM embeddings"""
+
+
+@query("h10_principal_axes", _AXES)
 def _(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return X.principal_axes(rows, "v").drop("v")
+    """Coordinates with zero mean and covariance, variances in falling order and above that of any column."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    out = materialize(X.principal_axes(rows, "v"), "axes")
+    widest = rows.select("vec_id", F.posexplode("embedding")).groupBy("pos").agg(F.var_samp("col").alias("s")).agg(F.max("s").alias("s")).scalar()
+    first, second = F.var_samp("pca_1"), F.var_samp("pca_2")
+    return out.agg(
+        F.count("*").alias("rows"), (F.abs(F.avg("pca_1")) + F.abs(F.avg("pca_2")) < 1e-6).alias("centred"),
+        (F.abs(F.covar_samp("pca_1", "pca_2")) < 1e-6 * first).alias("uncorrelated"), (first >= second).alias("in_order"),
+        (first >= F.first(widest) * (1 - 1e-6)).alias("beats_columns"))
 
 
 _SPLIT = """SELECT {id}, CAST(row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({id} AS VARCHAR) || '42'), {id})
@@ -162,12 +218,14 @@ def _risk_rows(spark, sf):
     return C.risk_features(C.fail_target(rows))
 
 
-@query("h12_boosted_risk_model")
+@query("h12_boosted_risk_model", ev_sql("""SELECT event_id, fail_flag AS "isFail", TRUE AS is_share, TRUE AS ranks_failures FROM ev"""))
 def _(spark, sf):
+    """A probability for every row, and failures ranked above the others more often than by chance."""
     rows, features = _risk_rows(spark, sf)
     rows = materialize(rows, "risk")
-    model = C.risk_model(rows, features, rounds=5, depth=4)
-    return C.risk_scored(rows, model).select("event_id", "isFail", "pred_prob")
+    out = materialize(C.risk_scored(rows, C.risk_model(rows, features, rounds=BOOSTS, depth=6)).select("event_id", "isFail", "pred_prob"), "scored")
+    better = E.roc_auc(out, "isFail", "pred_prob").select(F.col("auc") > 0.55).scalar()
+    return out.select("event_id", "isFail", F.col("pred_prob").between(0.0, 1.0).alias("is_share"), better.alias("ranks_failures"))
 
 
 @query("h13_class_weight", ev_sql("""
@@ -267,18 +325,26 @@ def _(spark, sf):
     return E.top_k_capture(logs_ev(spark, sf), "fail_flag", "pred_prob", "event_id")
 
 
-@query("h22_feature_importance")
+@query("h22_feature_importance", """
+SELECT unnest(['execution_duration', 'exec_hour', 'test_case_id_te', 'dut_te', 'suite_te', 'cluster_te']) AS feature, TRUE AS is_share, TRUE AS sums_to_one""")
 def _(spark, sf):
     rows, features = _risk_rows(spark, sf)
-    return C.feature_importance(C.risk_model(rows, features, rounds=3, depth=3), spark)
+    out = C.feature_importance(C.risk_model(materialize(rows, "risk"), features, rounds=BOOSTS, depth=6), spark)
+    total = out.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("t")).scalar()
+    return out.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), total.alias("sums_to_one"))
 
 
-@query("h23_test_predictions")
+@query("h23_test_predictions", ev_sql("""
+SELECT round(value, 6) AS execution_duration__x, fail_flag AS actual, TRUE AS label_fits FROM
+ (SELECT *, row_number() OVER (PARTITION BY fail_flag ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id)
+  <= round(0.2 * count(*) OVER (PARTITION BY fail_flag)) AS is_test FROM ev) WHERE is_test"""))
 def _(spark, sf):
     rows, features = _risk_rows(spark, sf)
     rows = materialize(N.stratified_split(rows, "isFail", "event_id"), "risk")
-    model = C.risk_model(rows.filter("is_test = 0"), features, rounds=3, depth=3)
-    return C.test_predictions(rows.filter("is_test = 1"), model, features)
+    model = C.risk_model(rows.filter("is_test = 0"), features, rounds=BOOSTS, depth=6)
+    out = C.test_predictions(rows.filter("is_test = 1"), model, features)
+    return out.select(r("execution_duration__x").alias("execution_duration__x"), "actual",
+                      (F.col("pred_label") == (F.col("pred_prob") >= 0.5).cast("int")).alias("label_fits"))
 
 
 _SCORED = """s AS (SELECT event_id, test_case_id, pred_prob, value, fail_flag, user_id % 10 AS cluster, 1 + 5 * exp(-least(greatest(value * 10, 0), 1000) / 30.0) AS recency_weight,
@@ -371,10 +437,12 @@ def _(spark, sf):
                       "fail_flag", r("failure_rate").alias("failure_rate"), "regression_group", "schedule_cycle", "past_failure_frequency")
 
 
-@query("h27_anomaly_points")
+@query("h27_anomaly_points", """
+SELECT 'DUT' || label || ' | rtp' AS label, count(*) AS points, TRUE AS placed FROM embeddings WHERE embedding[1] < -0.1 GROUP BY 1""")
 def _(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         "vec_id", F.concat(F.lit("DUT"), "label").alias("dut"), F.lit("rtp").alias("suite"),
         V.flag(F.col("embedding")[0] < -0.1).alias("is_anomaly"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return A.anomaly_points(X.principal_axes(rows, "v"))
+    points = A.anomaly_points(X.principal_axes(rows, "v"))
+    return points.groupBy("label").agg(F.count("*").alias("points"), F.min(F.col("pca_1").isNotNull() & F.col("pca_2").isNotNull()).alias("placed"))
