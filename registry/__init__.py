@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from registry import parsing, reports, rows, scores  # noqa: F401
+from registry import files, parsing, reports, rows, scores  # noqa: F401
 from registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
