@@ -8,12 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope import constants as K
 from failscope.functions.values import flag, is_fail, to_number_or_zero
-from failscope.operators.encode import target_encode, weight_column
+from failscope.operators.encode import target_encode, target_encode_fitted, weight_column
 from failscope.operators.vectors import tfidf_model
 from failscope.sources.columns import add_missing, present, resolve
 from failscope.storage import by_content
@@ -60,14 +60,18 @@ def fail_target(df: DataFrame) -> DataFrame:
     raise KeyError("no target column; expected one of target, fail_flag, status")
 
 
-def risk_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Numeric candidates and target-encoded categories the frame has, as numbers without nulls."""
+def risk_features(df: DataFrame, train: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """Numeric candidates and target-encoded categories the frame has, as numbers without nulls.
+
+    With ``train`` the categories are encoded from those rows only, so that held-out labels do
+    not reach the features.
+    """
     numeric = present(df, K.NUMERIC_CANDIDATES)
     categories = present(df, K.CATEGORY_CANDIDATES)
     cluster = resolve(df, K.CLUSTER_CANDIDATES)
     if cluster and cluster not in categories:
         categories.append(cluster)
-    out = target_encode(df, categories)
+    out = target_encode(df, categories) if train is None else target_encode_fitted(df, train, categories)
     # A column that holds no numbers (such as a time stamp) counts as 0.
     numbers = {f"{c}__x": to_number_or_zero(F.col(c).cast("string")) for c in numeric}
     return out.withColumns(numbers), [*numbers, *[f"{c}_te" for c in categories]]

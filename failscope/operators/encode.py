@@ -35,7 +35,7 @@ def stratified_split(df: DataFrame, label: str, row_id: str, fraction: float = 0
         F.col(label).alias("__label"), F.col("__bin").alias("__cut_bin"),
         (F.col("__want") - (F.col("__upto") - F.col("__n"))).alias("__nth"))
     in_bin = hashed.select(F.col(label).alias("__l"), "__bin", "__hash", F.col(row_id).alias("__id")).join(
-        cut_bins, F.col("__l").eqNullSafe(F.col("__label")) & (F.col("__bin") == F.col("__cut_bin")))
+        sized(cut_bins), F.col("__l").eqNullSafe(F.col("__label")) & (F.col("__bin") == F.col("__cut_bin")))
     nth = F.row_number().over(Window.partitionBy("__label").orderBy("__hash", "__id"))
     cuts = in_bin.withColumn("__i", nth).filter("__i = __nth").select(
         "__label", F.col("__hash").alias("__cut_hash"), F.col("__id").alias("__cut_id"))
@@ -86,16 +86,18 @@ def label_encode(df: DataFrame, columns: Sequence[str], max_group_rows: int | No
 
 def target_encode(df: DataFrame, columns: Sequence[str], target: str = "isFail") -> DataFrame:
     """Mean target per category over all rows, as ``<column>_te``; 0 for a null category."""
+    source = df
     for c in columns:
         name = f"{c}_te"
-        df = attach(df, [c], **{name: F.avg(target)}).withColumn(name, F.coalesce(name, F.lit(0.0)))
+        df = attach(df, [c], source, **{name: F.avg(target)}).withColumn(name, F.coalesce(name, F.lit(0.0)))
     return df
 
 
 def target_encode_fitted(df: DataFrame, train: Column, columns: Sequence[str], target: str = "isFail") -> DataFrame:
     """As above, from the training rows only; a category unseen in training gets 0."""
+    source = df
     for c in columns:
         name = f"{c}_te"
-        df = attach(df, [c], **{name: F.avg(F.when(train, F.col(target)))}).withColumn(
+        df = attach(df, [c], source, **{name: F.avg(F.when(train, F.col(target)))}).withColumn(
             name, F.coalesce(name, F.lit(0.0)))
     return df

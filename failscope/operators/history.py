@@ -29,9 +29,10 @@ def _running_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def failure_rates(df: DataFrame, names: dict[str, str], fail: str = "fail_flag") -> DataFrame:
     """Mean of the fail flag per key, for ``{key: name}``; 0 where the frame lacks the key."""
+    source = df
     for key, name in names.items():
-        if key in df.columns:
-            df = attach(df, [key], **{name: F.avg(fail)})
+        if key in source.columns:
+            df = attach(df, [key], source, **{name: F.avg(fail)})
         else:
             df = df.withColumn(name, F.lit(0.0))
     return df

@@ -20,11 +20,15 @@ from failscope.sources.columns import present
 from failscope.storage import literal_table, sized
 
 
-def attach(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Add per-key aggregates to every row; null for rows with a null key."""
+def attach(df: DataFrame, keys: Sequence[str], source: DataFrame | None = None, **aggregates: Column) -> DataFrame:
+    """Add per-key aggregates to every row; null for rows with a null key.
+
+    ``source`` is what to aggregate if not ``df``: give the original frame where several
+    aggregates are attached one after another, so that none is computed over the joins before it.
+    """
     keys = list(keys)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    small = df.filter(known).groupBy(*keys).agg(*[col.alias(name) for name, col in aggregates.items()])
+    small = (df if source is None else source).filter(known).groupBy(*keys).agg(*[col.alias(name) for name, col in aggregates.items()])
     return df.join(sized(small), keys, "left").select(*df.columns, *aggregates)
 
 
@@ -62,7 +66,7 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], order: S
     unique; without it the right side is checked.
     """
     if order is not None:
-        right = top_per_key(right, keys, order)
+        right = sized(top_per_key(right, keys, order))
     elif validate:
         check_unique(right, keys)
     return null_safe_left_join(left, right, keys, suffixes)

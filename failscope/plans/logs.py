@@ -61,9 +61,10 @@ def header_fields(lines: DataFrame) -> DataFrame:
     key, names = [c for c in ("path", "filename") if c in lines.columns], list(K.HEADER_PATTERNS)
     line, number = F.col("raw_line"), F.col("line_number")
     # Few lines name a key at all; only those are worth the patterns, and the sort that text minima need.
-    hits = lines.filter(line.rlike(K.HEADER_HINT)).select(
+    # They are written once, for the three aggregates below.
+    hits = materialize(lines.filter(line.rlike(K.HEADER_HINT)).select(
         *key, "line_number", *[F.trim(P.group_or_null(line, p)).alias(n) for n, p in K.HEADER_PATTERNS.items()],
-        P.version_from_line(line).alias("version_line"))
+        P.version_from_line(line).alias("version_line")), "header-lines")
     known = hits.groupBy(*key).agg(
         *[F.min(F.when(F.col(n).isNotNull(), number)).alias(f"__{n}") for n in names],
         F.min_by("version_line", F.when(F.col("version_line").isNotNull(), number)).alias("version_line"))
@@ -124,7 +125,7 @@ def preprocess(lines: DataFrame, max_group_rows: int | None = None) -> DataFrame
     """
     parsed = with_status_or_message(parse_results(lines))
     headers = with_fallbacks(header_fields(lines))
-    joined = parsed.join(headers, [c for c in ("path", "filename") if c in lines.columns], "left")
+    joined = parsed.join(sized(headers), [c for c in ("path", "filename") if c in lines.columns], "left")
     rows = materialize(joined, "parsed")
     return repair(rows, max_group_rows).select(
         "filename", "dut", "dut_version", "os_version", "config", "test_case_id", "line_number", "timestamp",

@@ -138,10 +138,16 @@ class RiskRun:
     risk: DataFrame
 
 
-def train_and_prioritise(df: DataFrame, row_id: str, rounds: int = 400, depth: int = 6, seed: int = 42) -> RiskRun:
-    """Train the failure model, evaluate it on the held-out part, and rank all rows."""
-    rows, features = C.risk_features(C.fail_target(df))
-    rows = materialize(stratified_split(rows, "isFail", row_id, 0.2, seed), "risk-features")
+def train_and_prioritise(df: DataFrame, row_id: str, rounds: int = 400, depth: int = 6, seed: int = 42,
+                         encode_train_only: bool = False) -> RiskRun:
+    """Train the failure model, evaluate it on the held-out part, and rank all rows.
+
+    Categories are encoded over all rows, or, without the leak of held-out labels that this
+    means, over the training rows only.
+    """
+    split = materialize(stratified_split(C.fail_target(df), "isFail", row_id, 0.2, seed), "risk-split")
+    rows, features = C.risk_features(split, F.col("is_test") == 0 if encode_train_only else None)
+    rows = materialize(rows, "risk-features")
     model = C.risk_model(rows.filter("is_test = 0"), features, rounds=rounds, depth=depth, seed=seed)
     scored = materialize(C.risk_scored(rows, model), "risk-scores")
     held_out = scored.filter("is_test = 1").withColumn("pred_label", V.flag(F.col("pred_prob") >= 0.5))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from failscope.functions.parse import file_stem
-from failscope.storage import materialize, spread_small
+from failscope.storage import materialize, sized, spread_small
 
 LINE_BREAK = r"\r\n|\r|\n"
 BAD_CHARACTER = "�"
@@ -44,7 +44,7 @@ def scan_lines(spark: SparkSession, root: str, suffixes: Sequence[str] = ("log",
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).drop("lines")
     path = relative_path(spark, F.col("path"), root)
-    return text.join(blocks, ["path", "block"]).select(
+    return text.join(sized(blocks), ["path", "block"]).select(
         path.alias("path"),
         F.element_at(F.split(path, "/"), -1).alias("filename"),
         (F.col("seq") - F.col("first_seq") + F.col("before") + 1).alias("line_number"),
