@@ -9,9 +9,9 @@ coordinates name the candidates; every link is confirmed on the full sets.
 Equal sets are one class from the start, so groups of copies cost one member.  Within
 a bucket of classes each member is first tested with one representative, the member
 whose buckets are the fullest (in a group of near copies: their common origin).
-Members that stay outside of its component are tested with further representatives, in
-growing numbers, until they are connected or every member of the bucket was one.  No
-pair list of a group is made.  Components are found by alternating large and small stars.
+Members that stay outside of its component are then tested against all members of the
+bucket, in cells of bounded size that give links only.  No pair list of a group is made.
+Components are found by alternating large and small stars.
 
 A pair at exactly 0.8 shares no bucket with probability (1 - 0.8^6)^32 = 6e-5.
 
@@ -37,6 +37,7 @@ from failscope.storage import materialize
 
 COORDS, ROWS = 192, 6
 SHINGLE_WORDS = 2
+OUTSIDE, SLICE = 512, 2048
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,35 +194,70 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
              .select(F.least("fp", "rep.fp").alias("a"), F.greatest("fp", "rep.fp").alias("b")).distinct())
     roots = components(_confirmed(pairs, sets, percent))
 
-    order = Window.partitionBy("bucket").orderBy(F.col("fame").desc(), F.col("fp").desc())
-    open_, last, reach = members, 1, 3
-    while True:
-        placed = open_.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-        if "rank" in placed.columns:
-            lead = placed.where("rank = 1").select("bucket", F.col("root").alias("lead"))
-        else:
-            lead = placed.groupBy("bucket").agg(F.max_by("root", F.struct("fame", "fp")).alias("lead"))
-        led = placed.join(lead, "bucket")
-        # Only members outside the component of the first one can still gain a link; a bucket
-        # without any, or with all its members tested as representatives, is done.
-        state = led.groupBy("bucket").agg(F.max(F.col("root") != F.col("lead")).alias("out"), F.count(F.lit(1)).alias("size"))
-        going = state.where(F.col("out") & (F.col("size") > last)).select("bucket")
-        open_ = led.join(going, "bucket", "left_semi")
-        if "rank" not in open_.columns:
-            open_ = open_.withColumn("rank", F.row_number().over(order))
-        open_ = materialize(open_, "open")
-        reps = open_.where((F.col("rank") > last) & (F.col("rank") <= reach)).select(
-            "bucket", F.col("fp").alias("r"), F.col("n").alias("rn"), F.col("root").alias("rroot"))
-        outside = open_.where("root <> lead").select("bucket", "fp", "n", "root")
-        pairs = outside.join(reps, "bucket").where("root <> rroot").where(_close(F.col("n"), F.col("rn"), percent)).select(
-            F.least("fp", "r").alias("a"), F.greatest("fp", "r").alias("b")).distinct()
-        if open_.isEmpty():
-            return roots
-        found = materialize(_confirmed(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            roots = materialize(_merged(roots, found), "roots")
-        open_ = open_.drop("root", "lead")
-        last, reach = reach, 4 * reach
+    placed = members.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "n", "fame", F.coalesce("root", "fp").alias("root"))
+    lead = placed.groupBy("bucket").agg(F.max_by("root", F.struct("fame", "fp")).alias("lead"))
+    led = placed.join(lead, "bucket").withColumn("out", F.col("root") != F.col("lead"))
+    # Only members outside the component of the representative can still gain a link; of two
+    # members the one pair is tested; of buckets with the same members one is enough.
+    state = led.groupBy("bucket").agg(
+        F.max("out").alias("out"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("members"))
+    going = state.where(F.col("out") & (F.col("size") > 2)).groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_ = materialize(led.join(going, "bucket", "left_semi").select("bucket", "fp", "root", "out"), "open")
+    if open_.isEmpty():
+        return roots
+    found = materialize(_outside_links(open_, sets, percent), "links")
+    return roots if found.isEmpty() else _merged(roots, found)
+
+
+def _outside_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the outside members of each bucket and its other members.
+
+    A bucket is tested in cells of at most ``OUTSIDE`` by ``SLICE`` members, so a large one is
+    spread over tasks; a cell counts common shingles as a product of incidence matrices and
+    gives one link for each outside member and component at most, never its pairs.
+    """
+    every = Window.partitionBy("bucket").orderBy("fp")
+    numbered = open_.withColumn("slice", F.floor((F.row_number().over(every) - 1) / SLICE).cast("int"))
+    outside = Window.partitionBy("bucket").orderBy("fp")
+    queries = open_.where("out").withColumn("block", F.floor((F.row_number().over(outside) - 1) / OUTSIDE).cast("int"))
+    size = numbered.groupBy("bucket").agg(F.max("slice").alias("slices")).join(
+        queries.groupBy("bucket").agg(F.max("block").alias("blocks")), "bucket")
+    against = numbered.join(size, "bucket").select(
+        "bucket", F.explode(F.sequence(F.lit(0), "blocks")).alias("block"), "slice", "fp", "root", F.lit(False).alias("asks"))
+    asking = queries.join(size, "bucket").select(
+        "bucket", "block", F.explode(F.sequence(F.lit(0), "slices")).alias("slice"), "fp", "root", F.lit(True).alias("asks"))
+    cells = against.unionByName(asking).join(sets, "fp")
+
+    def test(cell: pa.Table) -> pa.Table:
+        asks = cell["asks"].to_numpy(zero_copy_only=False)
+        fp, root = cell["fp"].to_pylist(), cell["root"].to_pylist()
+        lists = cell["shingles"].combine_chunks()
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(off)
+        row = np.repeat(np.arange(len(fp)), sizes)
+        flat = flat[off[0]:off[-1]]
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        number = np.zeros(len(fp), np.int64)
+        number[mine], number[theirs] = np.arange(len(mine)), np.arange(len(theirs))
+        common = np.zeros((len(mine), len(theirs)), np.float32)
+        vocabulary = np.unique(flat[asks[row]])
+        for v in range(0, len(vocabulary), 8192):
+            part = vocabulary[v:v + 8192]
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            left, right = np.zeros((len(mine), len(part)), np.float32), np.zeros((len(theirs), len(part)), np.float32)
+            left[number[row[hit & asks[row]]], at[hit & asks[row]]] = 1
+            right[number[row[hit & ~asks[row]]], at[hit & ~asks[row]]] = 1
+            common += left @ right.T
+        linked = 100 * common >= percent * (sizes[mine][:, None] + sizes[theirs][None, :] - common)
+        pairs = {}
+        for i, j in zip(*np.nonzero(linked)):
+            a, b = mine[i], theirs[j]
+            if root[a] != root[b]:
+                pairs.setdefault((fp[a], root[b]), fp[b])
+        return pa.table({"a": pa.array([k[0] for k in pairs], pa.binary()), "b": pa.array(list(pairs.values()), pa.binary())})
+
+    return cells.groupBy("bucket", "block", "slice").applyInArrow(test, "a binary, b binary")
 
 
 def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
