@@ -13,7 +13,11 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+# The corpus operators without SQL have tests of their own.
+CHECKED = sorted(n for n in queries() if n in oracle_sql() or not n.startswith(("op", "pipeline")))
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_sql(spark, con, name):
     result, n = compare(spark, con, SF, queries()[name], oracle_sql().get(name))
     # At this size no day may stand out.
