@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from failscope.llm import textbuf as T
 
-FIT_ROWS = 5_000
+FIT_ROWS = 2_000
 ORDER, SHARED = 6, 2
 DISCOUNT = 3.0
 NOISE = 2.0
