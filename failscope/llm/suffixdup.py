@@ -330,11 +330,12 @@ def intervals(documents: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     edges = sorted_out.where("h IS NOT NULL")
     crowded = edges.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("h", F.lit(True).alias("hot"))
     edges = edges.join(crowded, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    items = materialize(_with_text(documents, edges, key, length), "items")
-    plain = [x.select("key", "th", "s", "e") for x in (
-        found.where("h IS NULL"), sorted_out.where("h IS NULL"),
-        _by_suffix_array(items.where("NOT hot"), length, _schema(kind)))]
-    spans = plain[0].unionByName(plain[1]).unionByName(plain[2]).unionByName(_by_windows(items.where("hot"), length, kind))
+    items = _with_text(documents, edges, key, length)
+    spans = found.where("h IS NULL").select("key", "th", "s", "e").unionByName(sorted_out.where("h IS NULL").select("key", "th", "s", "e"))
+    if not crowded.isEmpty():
+        items = materialize(items, "items")
+        spans = spans.unionByName(_by_windows(items.where("hot"), length, kind))
+    spans = spans.unionByName(_by_suffix_array(items.where("NOT hot"), length, _schema(kind)).select("key", "th", "s", "e"))
     return spans.groupBy("key", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
