@@ -317,6 +317,25 @@ def test_perplexity_sums_to_one(spark):
         assert abs(q[own].sum() + rest - 1) < 1e-3
 
 
+def test_perplexity_of_rare_contexts(spark, monkeypatch):
+    """Every word seen twice as a predecessor has a restaurant, however small its share; slices change little."""
+    texts = [prose(3100 + i, 300) + f" left{i % 20} right{i % 20} " + prose(3200 + i, 300) for i in range(60)]
+    asked = [f"left{i} right{i}" for i in range(20)] + [f"left{i} right{(i + 1) % 20}" for i in range(20)]
+    df = spark.createDataFrame(rows(texts + asked), SCHEMA)
+    train, last = df.where("doc_id < 60"), F.col("doc_id") >= 60
+    keys = {}
+    for text in texts:
+        w = [b"", *brute.low_words(text)]
+        keys = {**keys, **{x: keys.get(x, 0) + w.count(x) for x in set(w)}}
+    model = perplexity.learn(train)
+    assert len(model.setting.known) == sum(n >= 2 for n in keys.values()) > 500
+    got = by_id(perplexity.perplexity(df, last), "score")
+    assert all(got[60 + i][0] > got[80 + i][0] + 1 for i in range(20))
+    monkeypatch.setattr(perplexity, "SLICE", 3)
+    sliced = by_id(perplexity.perplexity(df, last), "score")
+    assert all(abs(sliced[i][0] - got[i][0]) < 0.02 * abs(got[i][0]) for i in got)
+
+
 def test_language_id(spark, odd):
     texts = {"aa": [prose(i, 25, "abcdefgh") for i in range(60)], "bb": [prose(i, 25, "hijklmnop") for i in range(60)]}
     data = [(i * 2 + k, t, lang, None, None, None, None, None) for k, (lang, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
