@@ -4,7 +4,7 @@ Each language has a probability for every piece of a public vocabulary; the
 probability of a word is the sum over all its segmentations into pieces, found by a
 forward pass over its bytes.  The piece probabilities are fitted by expectation
 maximisation with the matching backward pass, on the words of a bounded sample of
-documents.  A word's values depend on the word alone and are computed once for each
+each language's documents.  A word's values depend on the word alone and are computed once for each
 task, for all words of one length together; a text adds up those of its words.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows with
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failscope.llm import textbuf as T
@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 10_000
 ROUNDS = 3
 LONGEST = 32  # bytes of a word part; 32 pieces of probability 1e-8 stay within a double
-PIECE = 16    # bytes of the longest piece used
+PIECE = LONGEST  # bytes of the longest piece; no word part is longer
 PRIOR = 100.0
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -170,12 +170,15 @@ def learn(documents: DataFrame, learning: Column, path: str = VOCABULARY, fit_ro
           key: str = "doc_id") -> Model:
     """Piece probabilities of the languages of the learning rows.
 
-    The ``fit_rows`` rows with the least hashes of their ids are learned from; the
-    bound is a parameter, and the words of the sample are what the steps read.
+    Of each language the ``fit_rows`` rows with the least hashes of their ids are learned
+    from; the bound is a parameter, and the words of the sample are what the steps read.
     """
     words = vocabulary(path)
-    chosen = documents.where(F.col("lang").isNotNull() & F.col(key).isNotNull() & learning).select(key).distinct().orderBy(F.xxhash64(key), key).limit(fit_rows)
-    sample = documents.where("lang IS NOT NULL").select(key, "lang", "text").join(F.broadcast(chosen), key)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(key), key))
+    # A row_number bound is applied in each task before the shuffle, so a large language stays small.
+    chosen = documents.where(F.col("lang").isNotNull() & F.col(key).isNotNull() & learning).select(key, "lang").distinct().withColumn("nth", nth).where(
+        F.col("nth") <= fit_rows).select(key, "lang")
+    sample = documents.select(key, "lang", "text").join(F.broadcast(chosen), [key, "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

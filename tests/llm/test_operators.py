@@ -351,6 +351,26 @@ def test_language_id(spark, odd):
     assert langid.predict(df, langid.learn(df.where("lang IS NULL"), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_learns_rare_languages(spark):
+    """The sample is bounded for each language, so a rare one is learned beside a large one."""
+    texts = [(prose(i, 25, "abcdefgh"), "aa") for i in range(400)] + [(prose(i, 25, "hijklmnop"), "bb") for i in range(4)]
+    df = spark.createDataFrame([(i, t, lang, None, None, None, None, None) for i, (t, lang) in enumerate(texts)], SCHEMA)
+    model = langid.learn(df, F.lit(True), fit_rows=3)
+    assert model.langs == ["aa", "bb"]
+    got = by_id(langid.predict(df, model), "lang_pred")
+    assert np.mean([got[i] == (lang,) for i, (_, lang) in enumerate(texts)]) > 0.95 and all(got[i] == ("bb",) for i in range(400, 404))
+
+
+def test_vocabulary_keeps_long_pieces():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    pieces = {model.id_to_piece(i).replace("▁", " ").encode().lower() for i in range(model.get_piece_size())
+              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    long = {p for p in pieces if 16 < len(p) <= langid.LONGEST}
+    assert long and long <= set(langid.vocabulary())
+
+
 def test_segmentations_sum_over_all_ways():
     words = [b" ", b"a", b"b", b" a", b"ab", b"ba", b" ab"]
     pieces = langid.pieces_of(words)
