@@ -41,6 +41,16 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Free the disk of a table that :func:`materialize` gave, once nothing reads it any more.
+
+    Its folder is written over with no rows, which needs no file system beside Spark's own.
+    """
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if f"/{_RUN}/" in path:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 SMALL_INPUT = 1 << 30
 
 
