@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm import contamination, langid, mixing, neardup, perplexity, preference, quality, suffixdup, toxicity, urls
+from failscope.llm import audit, contamination, importance, langid, mixing, neardup, perplexity, preference, quality, simhash, suffixdup, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,8 +72,21 @@ def op10_preference_chat(spark: SparkSession, sf: str) -> DataFrame:
     return preference.format_pairs(preference.replies_swapped(table(spark, sf, "conversations")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_url_filters, op2_benchmark_decontamination, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op8_lm_scoring, op9_language_id, op10_preference_chat)}
+        op1_url_filters, op2_benchmark_decontamination, op3_quality_rules, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_source_mixing, op7_toxicity, op8_lm_scoring, op9_language_id, op10_preference_chat,
+        op11_importance_resampling, op12_filter_audit, op13_simhash_near_dedup)}
 ORACLES: dict[str, str] = {
-    "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL}
+    "op1_url_filters": urls.SQL, "op6_source_mixing": mixing.SQL, "op10_preference_chat": preference.SQL, "op12_filter_audit": audit.SQL}
