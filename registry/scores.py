@@ -15,6 +15,7 @@ from failscope.operators import encode as N
 from failscope.operators import evaluate as E
 from failscope.operators import scoring as S
 from failscope.operators import vectors as X
+from failscope.operators.embedding import message_vectors
 from failscope.plans.prioritise import test_case_features, unified_training_table
 from failscope.storage import materialize
 from registry.base import ev_sql, logs_ev, query, r, table
@@ -101,10 +102,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Word vectors: of the set width, equal for equal messages, zero only without words."""
     rows = logs_ev(spark, sf).select("event_id", "error_msg")
-    out = L.message_vectors(rows, "error_msg", width=32, output="e")
-    first = F.min_by("e", "event_id").over(Window.partitionBy("error_msg"))
-    return out.select("event_id", F.size("e").cast("bigint").alias("width"), (F.col("e") == first).alias("equal_for_equal_text"),
-                      F.forall("e", lambda x: x == 0).alias("is_zero"))
+    out = materialize(message_vectors(rows, "error_msg", width=32, output="e"), "embedded")
+    spread = out.groupBy(F.col("error_msg").alias("m")).agg((F.min("e") == F.max("e")).alias("equal_for_equal_text"))
+    return out.join(spread, F.col("error_msg").eqNullSafe(F.col("m"))).select(
+        "event_id", F.size("e").cast("bigint").alias("width"), "equal_for_equal_text", F.forall("e", lambda x: x == 0).alias("is_zero"))
 
 
 def _training(spark, sf):
