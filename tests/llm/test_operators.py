@@ -328,17 +328,95 @@ def test_perplexity(spark, odd):
     assert len(untaught) == odd.count() and all(r.n_known == 0 and r.score == 0 for r in untaught)
 
 
+def test_seating_is_a_restaurant():
+    """Tables and predictive weight against customers that come in one by one."""
+    rng, strength, discount = random.Random(4), 1.0, 0.8
+    for n, others, parent in ((30, 0, 0.3), (20, 5, 0.1), (5, 3, 0.05), (2, 40, 0.2), (300, 50, 0.01)):
+        plain = []
+        for _ in range(2000):
+            tables = 1
+            for sat in range(1, n):
+                new = (strength + discount * (others + tables)) * parent
+                tables += rng.random() < new / (new + sat - discount * tables)
+            plain.append(tables)
+        k = 4000
+        got = perplexity.seat(np.full(k, n), np.full(k, float(others)), np.full(k, parent), discount, strength, np.arange(k))
+        error = 4 * np.std(plain) * (1 / 2000 + 1 / k) ** 0.5 + 0.01 * np.mean(plain)
+        assert abs(got.mean() - np.mean(plain)) < error
+        weight = lambda t: n - discount * t + (strength + discount * (others + t)) * parent
+        assert abs(weight(got.mean()) - weight(np.mean(plain))) < discount * error
+        assert abs(got.std() - np.std(plain)) < 0.12 * np.std(plain) + 0.02
+
+
+def _probabilities(model):
+    """Known words, and for each context with a restaurant the probabilities of all of them and of an unknown word."""
+    rows = model.lexicon.toArrow().sort_by("w")
+    w, n, customers = (rows[x].to_numpy() for x in ("w", "n", "customers"))
+    p, down = (np.column_stack([rows[x].to_numpy() for x in perplexity._numbered(name)]) for name in ("p", "down"))
+    pairs = model.pairs.toArrow()
+    c, own, v = np.searchsorted(w, pairs["c"].to_numpy()), np.searchsorted(w, pairs["w"].to_numpy()), pairs["v"].to_numpy()
+    out = {}
+    for i in np.flatnonzero(customers):
+        q = np.r_[(down[i] * p).mean(axis=1), (down[i] * model.unknown).mean()]
+        mine = c == i
+        q[own[mine]] += v[mine] / (model.numbers.strength + customers[i])
+        out[int(w[i])] = q
+    return w, n, p, out
+
+
 def test_perplexity_sums_to_one(spark):
     df = spark.createDataFrame(rows([prose(3000 + i, 300, "ab") for i in range(40)]), SCHEMA)
     model = perplexity.learn(df)
-    table = model.words.toArrow()
-    n, p, row, ctx, q = perplexity.unpack(table["packed"].combine_chunks())
-    assert abs(p.sum() + model.unknown - 1) < 1e-4
-    assert len(model.setting.known) > 3
-    for c in range(len(model.setting.known)):
-        own = ctx == c
-        rest = (p.sum() - p[row[own]].sum() + model.unknown) * model.backoff[c]
-        assert abs(q[own].sum() + rest - 1) < 1e-3
+    _, _, p, contexts = _probabilities(model)
+    assert np.allclose(p.sum(axis=0) + model.unknown, 1) and len(contexts) > 3
+    assert all(abs(q.sum() - 1) < 1e-9 and (q > 0).all() for q in contexts.values())
+
+
+def test_perplexity_against_a_plain_sampler(spark):
+    """The averaged predictive probabilities of small counts against Gibbs sweeps over single dishes, one restaurant after another."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=60)) for _ in range(30)]
+    model = perplexity.learn(spark.createDataFrame(rows(texts), SCHEMA))
+    s = model.numbers
+    n = {}
+    for text in texts:
+        ws = [None, *brute.low_words(text), None]
+        for a, b in zip(ws, ws[1:]):
+            n[a, b] = n.get((a, b), 0) + 1
+    vocabulary = sorted({b for _, b in n}, key=str)
+    base, tables, root = 1 / (len(vocabulary) + 1), {pair: 1 for pair in n}, {w: 1 for w in vocabulary}
+
+    def seat(customers, others, parent, discount):
+        t = 1
+        for sat in range(1, customers):
+            new = (s.strength + discount * (others + t)) * parent
+            t += rng.random() < new / (new + sat - discount * t)
+        return t
+
+    def root_p(w):
+        sent = sum(t for (_, b), t in tables.items() if b == w)
+        total, held = sum(tables.values()), sum(root.values())
+        return (sent - s.root_discount * root[w] + (s.strength + s.root_discount * held) * base) / (s.strength + total)
+
+    mean, kept = {}, 0
+    for sweep in range(60):
+        for a, b in n:
+            tables[a, b] = seat(n[a, b], sum(t for (c, d), t in tables.items() if c == a and d != b), root_p(b), s.discount)
+        for w in vocabulary:
+            sent = sum(t for (_, b), t in tables.items() if b == w)
+            root[w] = seat(sent, sum(root.values()) - root[w], base, s.root_discount)
+        if sweep >= 10:
+            kept += 1
+            for a in {a for a, _ in n}:
+                customers, held = sum(x for (c, _), x in n.items() if c == a), sum(t for (c, _), t in tables.items() if c == a)
+                for w in vocabulary:
+                    own = n.get((a, w), 0) - s.discount * tables.get((a, w), 0)
+                    mean[a, w] = mean.get((a, w), 0) + (own + (s.strength + s.discount * held) * root_p(w)) / (s.strength + customers)
+    key = lambda w: perplexity.END if w is None else int(perplexity.tokens(*T.buffers(pa.array([w.decode()])))[0][0])
+    w, _, _, contexts = _probabilities(model)
+    for (a, b), total in mean.items():
+        got = contexts[key(a)][np.searchsorted(w, key(b))]
+        assert abs(got - total / kept) < 0.02 + 0.1 * total / kept, (a, b, got, total / kept)
 
 
 def test_perplexity_of_rare_contexts(spark, monkeypatch):
@@ -352,7 +430,7 @@ def test_perplexity_of_rare_contexts(spark, monkeypatch):
         w = [b"", *brute.low_words(text)]
         keys = {**keys, **{x: keys.get(x, 0) + w.count(x) for x in set(w)}}
     model = perplexity.learn(train)
-    assert len(model.setting.known) == sum(n >= 2 for n in keys.values()) > 500
+    assert model.lexicon.where("customers > 0").count() == sum(n >= 2 for n in keys.values()) > 500
     got = by_id(perplexity.perplexity(df, last), "score")
     assert all(got[60 + i][0] > got[80 + i][0] + 1 for i in range(20))
     monkeypatch.setattr(perplexity, "SLICE", 3)
