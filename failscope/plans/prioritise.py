@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from failscope import constants as K
 from failscope.functions import parse as P
 from failscope.functions import values as V
 from failscope.operators import classify as C
+from failscope.operators.boosting import BoostedTrees
 from failscope.operators.dedupe import best_per_key, distinct_rows
 from failscope.operators.encode import label_encode, stratified_split
 from failscope.operators.evaluate import binary_metrics, top_k_capture
@@ -129,7 +129,7 @@ def unified_training_table(logs: DataFrame, classified: DataFrame, clusters: Dat
 
 @dataclass
 class RiskRun:
-    model: PipelineModel
+    model: BoostedTrees
     predictions: DataFrame
     metrics: DataFrame
     capture: DataFrame

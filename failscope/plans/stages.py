@@ -139,7 +139,7 @@ def test_cases(spark: SparkSession, base: str, **_) -> Tables:
 
 def prioritise(spark: SparkSession, base: str, rounds: int = 400, depth: int = 6, **_) -> Tables:
     run = P.train_and_prioritise(_read(spark, base, "testcases"), "row_id", rounds=rounds, depth=depth)
-    save_model(run.model, f"{base}/risk_model")
+    run.model.save(spark, f"{base}/risk_model")
     return {
         "prioritised": run.prioritised, "risk_scores": run.risk, "test_predictions": run.predictions,
         "risk_metrics": run.metrics, "topk": run.capture, "importance": run.importance,

@@ -20,9 +20,8 @@ from failscope.plans.prioritise import test_case_features, unified_training_tabl
 from failscope.storage import materialize
 from registry.base import ev_sql, logs_ev, query, r, table
 
-#: Trees of the registered forests (the operator's default), and boosting rounds: each is a row of
-#: Spark jobs, so these are fewer than the 400 of the operator's default.
-FOREST, BOOSTS = 300, 20
+#: Trees of the registered forests, the operator's default.
+FOREST = 300
 
 _ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in K.SPARK_STOP_WORDS)
 
@@ -216,15 +215,28 @@ def _risk_rows(spark, sf):
     rows = logs_ev(spark, sf).select(
         "event_id", "status", "test_case_id", "dut", "suite", F.col("value").alias("execution_duration"),
         F.hour("timestamp").alias("exec_hour"), (F.col("user_id") % 10).cast("int").alias("cluster"))
-    return C.risk_features(C.fail_target(rows))
+    rows, features = C.risk_features(C.fail_target(rows))
+    return materialize(N.stratified_split(rows, "isFail", "event_id"), "risk"), features
+
+
+#: By application and tables: the three queries below look at one and the same model.
+_RISK: dict[tuple[str, str], tuple] = {}
+
+
+def _risk_model(spark, sf):
+    """Rows with the split, features, and the model of the operator's default (400 rounds, depth 6) on the training rows."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RISK:
+        rows, features = _risk_rows(spark, sf)
+        _RISK[key] = rows, features, C.risk_model(rows.filter("is_test = 0"), features)
+    return _RISK[key]
 
 
 @query("h12_boosted_risk_model", ev_sql("""SELECT event_id, fail_flag AS "isFail", TRUE AS is_share, TRUE AS ranks_failures FROM ev"""))
 def _(spark, sf):
     """A probability for every row, and failures ranked above the others more often than by chance."""
-    rows, features = _risk_rows(spark, sf)
-    rows = materialize(rows, "risk")
-    out = materialize(C.risk_scored(rows, C.risk_model(rows, features, rounds=BOOSTS, depth=6)).select("event_id", "isFail", "pred_prob"), "scored")
+    rows, _, model = _risk_model(spark, sf)
+    out = materialize(C.risk_scored(rows, model).select("event_id", "isFail", "pred_prob"), "scored")
     better = E.roc_auc(out, "isFail", "pred_prob").select(F.col("auc") > 0.55).scalar()
     return out.select("event_id", "isFail", F.col("pred_prob").between(0.0, 1.0).alias("is_share"), better.alias("ranks_failures"))
 
@@ -329,8 +341,7 @@ def _(spark, sf):
 @query("h22_feature_importance", """
 SELECT unnest(['execution_duration', 'exec_hour', 'test_case_id_te', 'dut_te', 'suite_te', 'cluster_te']) AS feature, TRUE AS is_share, TRUE AS sums_to_one""")
 def _(spark, sf):
-    rows, features = _risk_rows(spark, sf)
-    out = C.feature_importance(C.risk_model(materialize(rows, "risk"), features, rounds=BOOSTS, depth=6), spark)
+    out = C.feature_importance(_risk_model(spark, sf)[2], spark)
     total = out.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("t")).scalar()
     return out.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), total.alias("sums_to_one"))
 
@@ -340,9 +351,7 @@ SELECT round(value, 6) AS execution_duration__x, fail_flag AS actual, TRUE AS la
  (SELECT *, row_number() OVER (PARTITION BY fail_flag ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id)
   <= round(0.2 * count(*) OVER (PARTITION BY fail_flag)) AS is_test FROM ev) WHERE is_test"""))
 def _(spark, sf):
-    rows, features = _risk_rows(spark, sf)
-    rows = materialize(N.stratified_split(rows, "isFail", "event_id"), "risk")
-    model = C.risk_model(rows.filter("is_test = 0"), features, rounds=BOOSTS, depth=6)
+    rows, features, model = _risk_model(spark, sf)
     out = C.test_predictions(rows.filter("is_test = 1"), model, features)
     return out.select(r("execution_duration__x").alias("execution_duration__x"), "actual",
                       (F.col("pred_label") == (F.col("pred_prob") >= 0.5).cast("int")).alias("label_fits"))
