@@ -15,9 +15,12 @@ gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from failscope.operators.ordered import last_seen, running
+from failscope.storage import materialize
+
 HEAD, SEP, TAIL = "<|", "|>\n", "\n<|end|>\n"
 
 
@@ -50,21 +53,27 @@ def format_pairs(turns: DataFrame) -> DataFrame:
         F.when(trained, start + F.length(text) + len(TAIL.rstrip("\n"))).cast("long").alias("train_to"))
 
 
-def replies_swapped(conversations: DataFrame, block: int = 64) -> DataFrame:
+def replies_swapped(conversations: DataFrame) -> DataFrame:
     """Pairs for a table without judgements: the turns ``format_pairs`` takes.
 
     The chosen side is a conversation up to its last assistant turn; the rejected
-    side ends in the last reply of the next conversation of the same block of
-    ``block`` ids instead (the first one follows the last).  Conversations without a
-    reply, and those whose two replies would be equal, make no pair.
+    side ends in the next different reply in the order of the ids instead (after the last
+    conversation the first ones follow).  Conversations without a reply make no pair, and
+    none is made when all replies are equal.  The order is kept in even chunks, so neither
+    the gaps between ids nor groups of equal replies matter.
     """
     known = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
     last = known.where("role = 'assistant'").groupBy("conv_id").agg(
         F.max("turn").alias("last"), F.min(F.struct(-F.col("turn"), F.col("text").isNull(), "text"))["text"].alias("reply"))
-    blocks = Window.partitionBy(F.floor(F.col("conv_id") / block))
-    other = F.coalesce(F.lead(F.struct("reply")).over(blocks.orderBy("conv_id")),
-                       F.min_by(F.struct("reply"), F.col("conv_id")).over(blocks))["reply"]
-    swap = last.withColumn("other", other).where(~F.col("other").eqNullSafe(F.col("reply")))
+    falling = [F.bitwise_not("conv_id")]
+    led = running(last, [], falling, follows=last_seen(F.struct("reply"), inclusive=False))
+    turned = F.when(F.col("follows").isNotNull() & ~F.col("follows")["reply"].eqNullSafe(F.col("reply")), F.col("follows"))
+    nexts = materialize(running(led.withColumn("turned", turned), [], falling, after=last_seen(F.col("turned"))), "replies")
+    # One row: what the conversations of the last run of equal replies go on with.
+    first = nexts.agg(F.min_by(F.struct("reply"), "conv_id").alias("start"), F.min_by("after", "conv_id").alias("second")).withColumn("one", F.lit(1))
+    wrapped = nexts.withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
+    other = F.coalesce("after", F.when(~F.col("start")["reply"].eqNullSafe(F.col("reply")), F.col("start")), F.col("second"))
+    swap = wrapped.withColumn("pick", other).where("pick IS NOT NULL").select("conv_id", "last", F.col("pick")["reply"].alias("other"))
     own = known.join(swap.select("conv_id", "last"), "conv_id").where(F.col("turn") <= F.col("last"))
     sides = own.select(
         F.col("conv_id").alias("pair_id"),
@@ -80,10 +89,12 @@ SQL = r"""
 WITH known AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text NULLS LAST) AS k FROM known WHERE role = 'assistant'),
 lasts AS (SELECT conv_id, turn AS last, text AS reply FROM ranked WHERE k = 1),
-nexts AS (SELECT *, coalesce(lead(conv_id) OVER b, min(conv_id) OVER (PARTITION BY floor(conv_id / 64))) AS next_id
-  FROM lasts WINDOW b AS (PARTITION BY floor(conv_id / 64) ORDER BY conv_id)),
-swap AS (SELECT n.conv_id, n.last, o.reply AS other FROM nexts n JOIN lasts o ON o.conv_id = n.next_id
-  WHERE o.reply IS DISTINCT FROM n.reply),
+led AS (SELECT *, CASE WHEN lead(conv_id) OVER o IS NOT NULL AND lead(reply) OVER o IS DISTINCT FROM reply THEN lead(conv_id) OVER o END AS turned
+  FROM lasts WINDOW o AS (ORDER BY conv_id)),
+nexts AS (SELECT *, first_value(turned IGNORE NULLS) OVER (ORDER BY conv_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM led),
+begun AS (SELECT conv_id AS start, reply AS first_reply, after AS second FROM nexts ORDER BY conv_id LIMIT 1),
+picked AS (SELECT n.*, coalesce(after, CASE WHEN first_reply IS DISTINCT FROM reply THEN start ELSE second END) AS next_id FROM nexts n, begun),
+swap AS (SELECT n.conv_id, n.last, o.reply AS other FROM picked n JOIN lasts o ON o.conv_id = n.next_id),
 own AS (SELECT k.*, s.last FROM known k JOIN swap s USING (conv_id) WHERE k.turn <= s.last),
 turns AS (
   SELECT conv_id, 'chosen' AS side, turn, role, text FROM own

@@ -52,9 +52,9 @@ def shingles(text: str | None, k: int = 2) -> frozenset:
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def groups(rows: list[tuple[int, str | None]], percent: int = 80) -> list[tuple[int, int, int, bool]]:
+def groups(rows: list[tuple[int, str | None]], percent: int = 80, k: int = 2) -> list[tuple[int, int, int, bool]]:
     """(id, shingles, component, kept) by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i: int) -> int:

@@ -536,5 +536,21 @@ def test_preference_from_conversations(spark):
             (3, 0, "user", "no reply"), (None, 0, "user", "x"), (4, 0, "assistant", "b")]
     df = spark.createDataFrame([(*r, "clash") for r in data], "conv_id bigint, turn bigint, role string, text string, side string")
     got = sorted((r.pair_id, r.part, r.turn) for r in preference.format_pairs(preference.replies_swapped(df)).collect())
-    # 1 takes d of 2, 2 takes b of 4, 4 would take the equal b of 1.
-    assert got == [(1, "chosen", 1), (1, "prompt", 0), (1, "rejected", 1), (2, "chosen", 1), (2, "prompt", 0), (2, "rejected", 1)]
+    # 1 takes d of 2, 2 takes b of 4, 4 goes on from the start: 1 says b too, so it takes d of 2.
+    assert got == [(1, "chosen", 1), (1, "prompt", 0), (1, "rejected", 1), (2, "chosen", 1), (2, "prompt", 0), (2, "rejected", 1),
+                   (4, "chosen", 0), (4, "rejected", 0)]
+    assert preference.replies_swapped(df.where("conv_id IN (1, 4)")).count() == 0
+
+
+def test_replies_are_paired_across_gaps_and_equal_runs(spark):
+    """Ids far apart and below zero, long runs of one reply, null and very long replies, against a plain walk."""
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(-10**6, 10**6), 120)) + [-2**63, 2**63 - 1]
+    replies = {k: rng.choice(["same"] * 6 + [None, "", "b", "x" * 70_000]) for k in ids}
+    data = [(k, 0, "user", "hi", "clash") for k in ids] + [(k, 1, "assistant", replies[k], "clash") for k in ids] * 2
+    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string, reply string").repartition(5)
+    got = {r.pair_id: r.text for r in preference.replies_swapped(df).where("side = 'rejected' AND turn = 1").collect()}
+    order, want = sorted(ids), {}
+    for i, k in enumerate(order):
+        want[k] = next(replies[x] for x in order[i + 1:] + order[:i] if replies[x] != replies[k])
+    assert got == want

@@ -30,7 +30,7 @@ def test_stages_and_columns(spark):
     passing = [i for i in rows if i in labels and not brute.quality(rows[i].text)[-1]]
     assert np.mean([(i in good) == (labels[i] == 1) for i in passing]) > 0.97
 
-    kept = {g[0] for g in brute.groups([(i, rows[i].text) for i in sorted(good)]) if g[3]}
+    kept = {g[0] for g in brute.groups([(i, rows[i].text) for i in sorted(good)], k=5) if g[3]}
     assert {r.doc_id for r in out["MinHash near-dedup"]} == kept
 
     order = sorted(kept)
