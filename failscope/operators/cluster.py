@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from failscope.operators.kmeans import Centres, fit
 from failscope.operators.repair import with_status
 from failscope.operators.vectors import tfidf, tfidf_model
 from failscope.sources.columns import require
@@ -19,15 +18,9 @@ RESTARTS = tuple(range(42, 52))
 
 
 def best_kmeans(df: DataFrame, vector: str, k: int = 10, seeds: Sequence[int] = RESTARTS, max_iter: int = 300,
-                tolerance: float = 1e-4) -> KMeansModel:
-    """The model with the lowest cost over several starts, each until its centres move less than ``tolerance``."""
-    points = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = [KMeans(k=k, seed=s, maxIter=max_iter, tol=tolerance, featuresCol=vector, predictionCol="cluster").fit(points)
-                for s in seeds]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        points.unpersist()
+                tolerance: float = 1e-4) -> Centres:
+    """The centres with the lowest cost over several starts, each until its centres move less than ``tolerance``."""
+    return fit(df, vector, k, seeds, max_iter, tolerance)
 
 
 def encode_messages(df: DataFrame, text: str, encoder: Callable[[list[str]], Sequence[Sequence[float]]],
@@ -59,6 +52,6 @@ def cluster_failures(df: DataFrame, k: int = 10, seeds: Sequence[int] = RESTARTS
         text = tfidf_model(failures, "error_msg", max_features, bigrams=False, output="__v")
         vectorise = lambda part: tfidf(part, text, "error_msg", "__v")
     model = best_kmeans(vectorise(failures), "__v", k, seeds)
-    scored = model.transform(vectorise(failures)).select(*rows.columns, "cluster")
+    scored = model.transform(vectorise(failures), "__v").select(*rows.columns, "cluster")
     others = rows.filter(~F.col("status").eqNullSafe("FAIL")).select(*rows.columns, F.lit(-1).alias("cluster"))
     return scored.unionByName(others)
