@@ -143,7 +143,7 @@ def _blocks(df: DataFrame, features: Sequence[str], target: str, cuts: list[np.n
         if held:
             yield block(held)
 
-    rows = df.select(*features, F.col(target).cast("int").alias("y")).repartition(max(1, -(-n // block_rows)))
+    rows = df.select(*features, F.col(target).cast("int").alias("y")).repartition(max(1, -(-n // block_rows))).sortWithinPartitions(*features, "y")
     packed = rows.mapInArrow(pack, "n bigint, bins binary, label binary, margin binary")
     return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 

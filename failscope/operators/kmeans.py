@@ -124,7 +124,9 @@ def _blocks(df: DataFrame, vector: str):
                 b = _block(0, width, part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.record_batch({name: pa.array([array.tobytes()]) for name, array in (("indptr", b.indptr), ("index", b.index), ("value", b.value))})
 
-    packed = rows.repartition(max(1, -(-n // PARTITION_ROWS))).mapInArrow(pack, "indptr binary, index binary, value binary")
+    # Dealt evenly, whatever repeats, and ordered, as draws go by a row's place in its block.
+    dealt = rows.select("index", "value").repartition(max(1, -(-n // PARTITION_ROWS))).sortWithinPartitions("index", "value")
+    packed = dealt.mapInArrow(pack, "indptr binary, index binary, value binary")
     table = materialize(packed.select(F.monotonically_increasing_id().alias("number"), "*"), "blocks")
     drop(rows)
     blocks = table.rdd.map(lambda r: Block(

@@ -40,13 +40,20 @@ def test_sparse_rows_give_what_dense_rows_give(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_ROWS", 37)
     rng = np.random.default_rng(2)
     x = rng.random((200, 30)) * (rng.random((200, 30)) < 0.2)
-    dense = M.fit(frame(spark, [Vectors.dense(r) for r in x]).coalesce(1), "v", 4, [1, 2])
-    sparse_rows = [Vectors.sparse(30, np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x]
-    sparse = M.fit(frame(spark, sparse_rows).coalesce(1), "v", 4, [1, 2])
+    index = [np.flatnonzero(r).tolist() for r in x]
+    value = [r[i].tolist() for r, i in zip(x, index)]
+    points, label = rng.random((7, 30)), rng.integers(0, 7, 200)
+    blocks = [M._block(0, 30, [None] * 200, list(x)), M._block(0, 30, index, value),
+              M._block(0, 30, [i if k % 2 else None for k, i in enumerate(index)], [v if k % 2 else r for k, (v, r) in enumerate(zip(value, x))])]
+    assert blocks[0].dense is not None and blocks[1].dense is None
+    for block in blocks:
+        assert np.allclose(block.distances(points), ((x[:, None, :] - points[None]) ** 2).sum(axis=2))
+        assert np.allclose(block.sums(label, 7), [x[label == c].sum(axis=0) for c in range(7)])
+        assert np.allclose(block.point(5), x[5])
+    sparse = M.fit(frame(spark, [Vectors.sparse(30, i, v) for i, v in zip(index, value)]), "v", 4, [1, 2])
     assert abs(sparse.cost - plain_cost(x, sparse.centres)) < 1e-9 * sparse.cost
-    assert np.allclose(dense.costs, sparse.costs) and np.allclose(dense.centres, sparse.centres)
-    mixed = M.fit(frame(spark, [s if i % 2 else Vectors.dense(r) for i, (s, r) in enumerate(zip(sparse_rows, x))]).coalesce(1), "v", 4, [1, 2])
-    assert np.allclose(mixed.costs, sparse.costs)
+    again = M.fit(frame(spark, [Vectors.sparse(30, i, v) for i, v in zip(index, value)]), "v", 4, [1, 2])
+    assert np.allclose(again.costs, sparse.costs)
 
 
 def test_first_centres_are_drawn_by_squared_distance(spark):
