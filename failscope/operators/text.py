@@ -55,7 +55,8 @@ def attach_keywords(df: DataFrame, keywords: DataFrame, group: str = "cluster")
 def tfidf_weights(df: DataFrame, row_id: str, group: str, message: str, max_features: int = 3000,
                   stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> DataFrame:
     """(row, group, term, weight): smoothed TF-IDF, L2-normalised per row, over the most frequent terms."""
-    docs = df.select(row_id, group, F.coalesce(F.col(message), F.lit("")).alias("__text"))
+    # A small input may come as one row group, which one task would tokenise.
+    docs = spread_small(df.select(row_id, group, F.coalesce(F.col(message), F.lit("")).alias("__text")))
     # Counted where the text is read; only (row, term, count) is shuffled and written, for both uses below.
     words = docs.select(
         row_id, group,
