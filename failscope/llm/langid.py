@@ -4,7 +4,7 @@ Each language has a probability for every piece of a public vocabulary; the
 probability of a word is the sum over all its segmentations into pieces, found by a
 forward pass over its bytes.  The piece probabilities are fitted by expectation
 maximisation with the matching backward pass, on the words of a bounded sample of
-each language's documents.  A word's values depend on the word alone and are computed once for each
+each language's documents: the words stay in the tasks, which send sums by piece and language.  A word's values depend on the word alone and are computed once for each
 task, for all words of one length together; a text adds up those of its words.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows with
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from failscope.llm import textbuf as T
 from failscope.llm.toxicity import WordValues
+from failscope.storage import drop, materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 10_000
@@ -178,7 +179,8 @@ def learn(documents: DataFrame, learning: Column, path: str = VOCABULARY, fit_ro
     # A row_number bound is applied in each task before the shuffle, so a large language stays small.
     chosen = documents.where(F.col("lang").isNotNull() & F.col(key).isNotNull() & learning).select(key, "lang").distinct().withColumn("nth", nth).where(
         F.col("nth") <= fit_rows).select(key, "lang")
-    sample = documents.select(key, "lang", "text").join(F.broadcast(chosen), [key, "lang"])
+    # Written, so that the planner sees how few ids these are.
+    sample = documents.select(key, "lang", "text").join(materialize(chosen, "chosen"), [key, "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,23 +199,39 @@ def learn(documents: DataFrame, learning: Column, path: str = VOCABULARY, fit_ro
                     "lang": pa.array([names[k] for k in own[first].tolist()], pa.string()), "n": pa.array(number)})
 
     counted = sample.select("lang", "text").mapInArrow(count, "word binary, lang string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    table = counted.toArrow().sort_by([("word", "ascending"), ("lang", "ascending")])
-    langs = sorted(set(table["lang"].to_pylist()))
+    # All languages of a word in one task, which then walks its segmentations once.
+    table = materialize(counted.repartition("word"), "words")
+    langs = [r.lang for r in table.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return Model([], words, np.zeros((len(words) + 1, 0)))
-    spelled, place = np.unique(np.array(table["word"].to_pylist(), dtype=object), return_inverse=True)
-    number = np.zeros((len(spelled), len(langs)))
-    np.add.at(number, (place, np.searchsorted(langs, table["lang"].to_pylist())), table["n"].to_numpy())
-    spelled = [b" " + w for w in spelled.tolist()]
-    pieces, p = pieces_of(words), _normalised(np.r_[np.ones((len(words), len(langs))), np.zeros((1, len(langs)))])
+    p = _normalised(np.r_[np.ones((len(words), len(langs))), np.zeros((1, len(langs)))])
     for _ in range(rounds):
-        counts = np.zeros_like(p)
-        for i in range(0, len(spelled), 20_000):
-            counts += expected_counts(spelled[i:i + 20_000], number[i:i + 20_000], pieces, p)
-        p = _normalised(counts)
+        p = _normalised(_expected(table, langs, words, p))
+    drop(table)
     return Model(langs, words, p)
 
 
+def _expected(table: DataFrame, langs: list[str], vocabulary_: list[bytes], p: np.ndarray) -> np.ndarray:
+    """Expected occurrences of each piece in each language over the rows (word, lang, n): summed in the tasks, then by piece and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, total = pieces_of(vocabulary_), np.zeros_like(p)
+        for batch in batches:
+            if not len(batch):
+                continue
+            spelled, place = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            number = np.zeros((len(spelled), len(langs)))
+            np.add.at(number, (place, np.searchsorted(langs, batch.column(1).to_pylist())), batch.column(2).to_numpy())
+            total += expected_counts([b" " + w for w in spelled.tolist()], number, pieces, p)
+        piece, lang = np.nonzero(total)
+        yield pa.record_batch({"piece": pa.array(piece.astype(np.int32)), "lang": pa.array(lang.astype(np.int32)), "x": pa.array(total[piece, lang])})
+
+    found = table.mapInArrow(run, "piece int, lang int, x double").groupBy("piece", "lang").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros_like(p)
+    out[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["x"].to_numpy()
+    return out
+
+
 def predict(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, lang_pred and score (its share among the languages) of each row."""
     kind = documents.schema[key].dataType.simpleString()
