@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from failscope.operators import vectors as X
 from failscope.sources import columns as C
 from failscope.sources import tables as T
-from failscope.sources.archive import member_keys, write_partitioned
+from failscope.sources.archive import member_keys, scan_archives, write_archives, write_partitioned
 from failscope.sources.logs import scan_lines
 from failscope.storage import run_dir
 from registry.base import ev_sql, logs_ev, query, r, table
@@ -19,6 +19,16 @@ def _place(spark, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("a01_archive_scan", ev_sql("""
+SELECT suite || '.tar.gz' AS archive, filename AS member, filename, row_number() OVER (PARTITION BY suite, filename ORDER BY event_id) AS line_number,
+ trim(raw_line) AS raw_line FROM ev"""))
+def _(spark, sf):
+    """One archive for each suite, written by the tasks and scanned line by line."""
+    path = _place(spark, "archives")
+    write_archives(logs_ev(spark, sf).select("event_id", "suite", "filename", "raw_line"), path, "suite", "filename", ["event_id"], "raw_line")
+    return scan_archives(spark, path).withColumn("archive", F.element_at(F.split("archive", "/"), -1))
+
+
 @query("a03_partitioned_layout", ev_sql("""
 SELECT strftime("timestamp", '%Y-%m-%d') AS run_date, suite, count(*) AS lines, sum(event_id)::BIGINT AS ids FROM ev GROUP BY 1, 2"""))
 def _(spark, sf):

@@ -116,3 +116,23 @@ def test_columns(spark):
         columns.require(df.filter(F.lit(False)), ["DUT"], rows=True)
     assert columns.require(df, ["DUT"], rows=True) is df
     assert columns.add_missing(df, {"x": "N/A", "DUT": 9}).first().asDict() == {"DUT": 1, "suite": 2, "x": "N/A"}
+
+
+def test_archives_are_written_by_the_tasks(spark, tmp_path):
+    """Members larger than a batch, null names and lines, many members, letters outside ASCII, a second run over the first."""
+    data = [("big", "long.log", i, f"line {i} é") for i in range(25_000)] + [("big", "short.log", 1, "x"), ("big", "short.log", 0, None)]
+    data += [(f"a{i % 7}", f"dir/m{i % 50}.log", i, f"r{i}") for i in range(700)] + [(None, None, 0, "y")]
+    df = spark.createDataFrame(data, "archive string, name string, at long, text string").repartition(6)
+    for _ in range(2):
+        written = archive.write_archives(df, str(tmp_path / "out"), "archive", "name", ["at"], "text")
+    counts = {r.archive: (r.members, r.lines) for r in written.collect()}
+    assert counts["big"] == (2, 25_002) and counts["unknown"] == (1, 1) and len(counts) == 9
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{a}.tar.gz" for a in counts)
+    got = sorted((r.archive.rsplit("/", 1)[1], r.member, r.line_number, r.raw_line) for r in archive.scan_archives(spark, str(tmp_path / "out")).collect())
+    want, number = [], {}
+    for a, m, _, text in sorted(data, key=lambda r: (r[0] or "", r[1] or "", r[2])):
+        key = (f"{a or 'unknown'}.tar.gz", m or "unknown")
+        number[key] = number.get(key, 0) + 1
+        want.append((*key, number[key], text or ""))
+    assert got == sorted(want)
+    assert archive.write_archives(df.where("false"), str(tmp_path / "none"), "archive", "name", ["at"], "text").count() == 0
