@@ -7,23 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from failscope.sources.quoted import read_quoted_csv
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              line_breaks_in_quotes: bool = False) -> DataFrame:
     """CSV with a header and doubled quotes.
 
     Give a schema for large inputs: without one Spark reads the files once more
-    to infer the types.  Allow line breaks inside quotes only where they occur,
-    since such a file is read by a single task.
+    to infer the types.  Allow line breaks inside quotes only where they occur:
+    files are then read twice, to find the quotes that are open at each split.
     """
-    reader = spark.read.options(header=True, multiLine=line_breaks_in_quotes, quote='"', escape='"')
+    if line_breaks_in_quotes:
+        return read_quoted_csv(spark, path, schema)
+    reader = spark.read.options(header=True, quote='"', escape='"')
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).option("enforceSchema", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    # White space at the ends of a field belongs to it.
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -65,6 +65,16 @@ def _(spark, sf):
     return T.read_csv(spark, path)
 
 
+@query("a07_csv_quoted_breaks", ev_sql("""SELECT event_id, coalesce(error_msg, '') || chr(13) || chr(10) || '"' || suite || '",' || chr(10) || chr(10) || event_id AS note,
+ round(value, 6) AS value, fail_flag FROM ev"""))
+def _(spark, sf):
+    """Line breaks and quotes inside quoted fields; every split of the files is read by a task of its own."""
+    path = _place(spark, "quoted") + ".csv"
+    note = F.concat(F.coalesce("error_msg", F.lit("")), F.lit('\r\n"'), "suite", F.lit('",\n\n'), "event_id")
+    T.write_csv(logs_ev(spark, sf).select("event_id", note.alias("note"), r("value").alias("value"), "fail_flag"), path)
+    return T.read_csv(spark, path, line_breaks_in_quotes=True)
+
+
 @query("a08_csv_overwritten", _CSV)
 def _(spark, sf):
     """Written twice; only the second writing counts."""
