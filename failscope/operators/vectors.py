@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-    StandardScaler, StopWordsRemover, VectorAssembler,
+    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope import constants as K
+from failscope.operators.principal import leading_axes
+from failscope.storage import materialize
+
+
+def term_stages(text: str, bigrams: bool = True, stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> tuple[list, str]:
+    """Stages from a text to its terms, and the column that has these."""
+    words = RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"(?U)\b\w\w+\b", gaps=False)
+    kept = StopWordsRemover(inputCol="__tokens", outputCol="__words", stopWords=list(stop_words))
+    if not bigrams:
+        return [words, kept], "__words"
+    return [words, kept, NGram(n=2, inputCol="__words", outputCol="__pairs"),
+            SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__")], "__terms"
 
 
 def tfidf_model(df: DataFrame, text: str, max_features: int = 5000, bigrams: bool = True,
                 output: str = "tfidf", stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> PipelineModel:
-    """Fitted smoothed TF-IDF with L2 norm.
+    """Fitted smoothed TF-IDF with L2 norm; the vocabulary is kept on the driver.
+
+    For a vocabulary without a bound see :func:`failscope.operators.terms.tfidf_unbounded`.
 
     Spark's IDF lacks the "+ 1" of the smoothed form, hence the term counts are
     multiplied with ``idf + 1``.
     """
-    words = RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"(?U)\b\w\w+\b", gaps=False)
-    kept = StopWordsRemover(inputCol="__tokens", outputCol="__words", stopWords=list(stop_words))
-    head: list = [words, kept]
-    terms = "__words"
-    if bigrams:
-        head += [
-            NGram(n=2, inputCol="__words", outputCol="__pairs"),
-            SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
-        ]
-        terms = "__terms"
+    head, terms = term_stages(text, bigrams, stop_words)
     counter = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=max_features)
     source = df.select(F.coalesce(F.col(text), F.lit("")).alias(text))
     counting = Pipeline(stages=[*head, counter]).fit(source)
@@ -76,22 +77,12 @@ def principal_axes(df: DataFrame, vector: str, standardise: bool = False,
                    outputs: tuple[str, str] = ("pca_1", "pca_2")) -> DataFrame:
     """Coordinates on the first two principal axes of the centred vectors.
 
-    The vectors stay sparse: the mean is taken off the two coordinates instead
-    of the vectors.  Meant for at most a few thousand columns, as the covariance
-    is held on the driver.
+    The vectors stay sparse: the mean is taken off their products. They may be wide, as only a few
+    blocks of columns x 12 numbers are kept on the driver.
     """
-    source, rows = vector, df
-    if standardise:
-        source = "__scaled"
-        rows = StandardScaler(inputCol=vector, outputCol=source, withMean=False, withStd=True).fit(df).transform(df)
-    model = PCA(k=2, inputCol=source, outputCol="__axes").fit(rows)
-    stats = rows.agg(Summarizer.mean(F.col(source)).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    shift = model.pc.toArray().T @ stats.m.toArray()
-    # Spark scales by the sample deviation, the population deviation is meant.
-    factor = math.sqrt(stats.n / (stats.n - 1)) if standardise and stats.n > 1 else 1.0
-    pair = vector_to_array("__axes")
-    return model.transform(rows).select(
-        *df.columns, *[((pair[i] - F.lit(float(shift[i]))) * F.lit(factor)).alias(outputs[i]) for i in range(2)])
+    rows = materialize(df, "vectors")
+    found = leading_axes(rows, vector, len(outputs), standardise)
+    return rows.withColumn("__axes", found.coordinates(vector, list(outputs))).select(*df.columns, "__axes.*")
 
 
 def save_scaling(spark: SparkSession, fitted: dict[str, tuple[float, float]], path: str) -> None:

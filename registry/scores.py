@@ -16,6 +16,7 @@ from failscope.operators import evaluate as E
 from failscope.operators import scoring as S
 from failscope.operators import vectors as X
 from failscope.operators.embedding import message_vectors
+from failscope.operators.terms import tfidf_unbounded
 from failscope.plans.prioritise import test_case_features, unified_training_table
 from failscope.storage import materialize
 from registry.base import ev_sql, logs_ev, query, r, table
@@ -47,10 +48,8 @@ x AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df))
 SELECT d.doc_id, count(w) AS terms, round(coalesce(sum(w) / sqrt(sum(w * w)), 0), 5) AS weight_sum FROM documents d LEFT JOIN x USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # A vocabulary larger than the number of terms, so that nothing is cut.
-    model = X.tfidf_model(docs, "text", max_features=1 << 20, bigrams=False)
     values = F.unwrap_udt("tfidf")["values"]
-    return X.tfidf(docs, model, "text").select(
+    return tfidf_unbounded(docs, "text", bigrams=False).select(
         "doc_id", F.size(values).cast("bigint").alias("terms"),
         r(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), 5).alias("weight_sum"))
 
