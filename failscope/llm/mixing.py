@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from failscope.llm.rows import matched, text_hash
+from failscope.storage import materialize
 
 WEIGHTS = (5, 2, 1)
 SLICES = 4096
@@ -65,7 +66,8 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, seed: str = "mix",
         slices: int = SLICES, key: str = "doc_id") -> DataFrame:
     """key, th, source, size, source_size, target and copies of each document."""
-    sized = with_size(documents, key)
+    # Numbers and two digests of each document: the texts are read once for all uses below.
+    sized = materialize(with_size(documents, key), "sized")
     digits = len(f"{slices - 1:x}")
     cell = sized.withColumns({
         "class": F.expr("CASE WHEN size = 0 THEN 0 ELSE 4 * length(bin(size)) + shiftright(size, greatest(length(bin(size)) - 3, 0)) % 4 END"),
