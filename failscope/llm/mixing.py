@@ -8,7 +8,7 @@ short and long documents are taken in proportion and the words come out near the
 target.
 
 The running sum needs no global sort: documents fall into cells (source, size
-class, slice of the key's hash), cell totals are summed along the cells, and only
+class, slice of the key's hash), totals are summed along the classes and cells, and only
 rows of one cell meet in a window.  A hot source is spread over ``slices`` cells for
 each of at most 256 size classes (quarters of the powers of two).
 
@@ -75,8 +75,14 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 1
     own = Window.partitionBy("source", "class", "slice")
     numbered = cell.withColumn("at", F.row_number().over(own.orderBy("ord", "key")))
     cells = cell.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "class", "slice", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    # Sums along the classes of a source, then along the slices of a class: 256 and ``slices`` rows at most meet in a task.
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("first"))
+    starts = cells.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(
+        firsts, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).select(
+        "source", "class", "slice", (F.col("first") + F.col("within")).alias("before"))
     placed = numbered.join(starts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
                            & (numbered["class"] == starts["class"]) & (numbered["slice"] == starts["slice"]))
     placed = placed.select("key", "th", "source", "size", (F.col("at") + F.col("before")).alias("number"))
