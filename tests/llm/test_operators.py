@@ -419,6 +419,40 @@ def test_perplexity_against_a_plain_sampler(spark):
         assert abs(got - total / kept) < 0.02 + 0.1 * total / kept, (a, b, got, total / kept)
 
 
+def test_discount_and_strength_are_sampled(spark):
+    """Restaurants filled with known values: the posterior finds them again; the learned values are no constants."""
+    rng = np.random.default_rng(7)
+    discount, strength, k = 0.6, 6.0, 400
+    n, others, parent, key = [], [], [], []
+    tables, customers = [], []
+    for u in range(k):
+        # One restaurant over a wide base: each table a dish of its own, as the base hardly repeats.
+        sizes = []
+        for i in range(300):
+            p = np.r_[np.array(sizes) - discount, strength + discount * len(sizes)] / (strength + i)
+            at = rng.choice(len(p), p=p)
+            sizes = [*sizes, 1] if at == len(sizes) else [*sizes[:at], sizes[at] + 1, *sizes[at + 1:]]
+        tables.append(len(sizes))
+        customers.append(300)
+        n += sizes
+        others += [len(sizes) - 1] * len(sizes)
+        key += [u * 1000 + i for i in range(len(sizes))]
+    n, key = np.array(n), np.array(key)
+    d, s, seen = 0.8, 1.0, []
+    for sweep in range(60):
+        # No new tables are opened at a parent's probability of 0, so the seating stays the one drawn above.
+        kept, marks = perplexity.seat_marked(n, np.array(others, float), np.zeros(len(n)), d, s, key, np.full(len(key), sweep))
+        assert (kept == 1).all()
+        sums = perplexity.drawn(np.array(customers), np.array(tables, float), d, s, np.arange(k), np.full(k, sweep))
+        d, s = perplexity.sampled(sums, marks.sum(), sweep)
+        seen.append((d, s))
+    d, s = np.mean(seen[20:], axis=0)
+    assert abs(d - discount) < 0.03 and abs(s - strength) < 1.0, (d, s)
+    df = spark.createDataFrame(rows([prose(3000 + i, 300, "ab") for i in range(40)]), SCHEMA)
+    numbers = perplexity.learn(df).numbers
+    assert numbers.strength != 1.0 and numbers.root_strength != 1.0
+
+
 def test_perplexity_of_rare_contexts(spark, monkeypatch):
     """Every word seen twice as a predecessor has a restaurant, however small its share; slices change little."""
     texts = [prose(3100 + i, 300) + f" left{i % 20} right{i % 20} " + prose(3200 + i, 300) for i in range(60)]
