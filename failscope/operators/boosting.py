@@ -2,10 +2,11 @@
 
 Features are cut at their quantiles once (at most ``BINS`` bins) and the rows kept as blocks
 of at most ``BLOCK_ROWS`` rows of one byte a feature.  Each level of a tree is one job: every
-block adds up the gradients of its rows by (node, feature, bin), the sums are added in a tree
-of partial sums, and the driver, which sees 2^level x features x bins numbers whatever the
-rows, chooses the splits.  Leaves come from the sums of the last level, so a tree of depth d
-takes d jobs.  Columns are sampled for each tree, rows for each tree by a seed of their
+block adds up the gradients of its rows by (node, feature, bin), the sums are dealt by feature
+and added, and the driver sees the best split of each (node, feature) alone, whatever the rows
+and bins.  Blocks lie in as many partitions as there are cores, or in partitions of
+``PART_ROWS`` rows, so that the tasks of a job do not grow with the blocks.  Leaves come from
+the sums of the last level, so a tree of depth d takes d jobs.  Columns are sampled for each tree, rows for each tree by a seed of their
 block, leaves are shrunk by ``l2``.
 
 The loop keeps imperative state (a margin for each row), so it runs on a persisted RDD of
@@ -18,7 +19,7 @@ Null and NaN features count as 0.  Without rows the model has no trees and score
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.storagelevel import StorageLevel
 from failscope.storage import drop, materialize
 
 BINS, BLOCK_ROWS = 256, 1 << 14
+PART_ROWS = 1 << 21
 KEEP, WRITE = 8, 40
-FEW_PARTIALS = 16
 _LEAST_GAIN = 1e-6
 
 
@@ -120,6 +121,11 @@ def cut_points(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list
     return [np.setdiff1d(np.array(found[f"q{i}"] or [], float), [found[f"m{i}"]]) for i in range(len(features))]
 
 
+def partitions_for(df: DataFrame, n: int, block_rows: int, part_rows: int = PART_ROWS) -> int:
+    """One partition a core, fewer if there are fewer blocks, more beyond ``part_rows`` rows in each."""
+    return max(1, min(-(-n // block_rows), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // part_rows))))
+
+
 def _blocks(df: DataFrame, features: Sequence[str], target: str, cuts: list[np.ndarray], n: int, block_rows: int) -> DataFrame:
     """Written rows (block, n, bins, label, margin): the rows dealt evenly, a byte for each feature of each row."""
     count = len(features)
@@ -143,7 +149,7 @@ def _blocks(df: DataFrame, features: Sequence[str], target: str, cuts: list[np.n
         if held:
             yield block(held)
 
-    rows = df.select(*features, F.col(target).cast("int").alias("y")).repartition(max(1, -(-n // block_rows))).sortWithinPartitions(*features, "y")
+    rows = df.select(*features, F.col(target).cast("int").alias("y")).repartition(partitions_for(df, n, block_rows)).sortWithinPartitions(*features, "y")
     packed = rows.mapInArrow(pack, "n bigint, bins binary, label binary, margin binary")
     return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
@@ -177,21 +183,27 @@ def _sums(block: tuple, weight: float, pending: list[Tree], tree: Tree, depth: i
     return out
 
 
-def _best_splits(sums: np.ndarray, nodes: int, cuts: list[np.ndarray], columns: np.ndarray, l2: float, least_weight: float) -> dict[str, np.ndarray]:
-    """For each node its sums and its best split: gain, column, bin and the sums to its left."""
-    by_node = sums.reshape(len(columns), 2, nodes, -1).transpose(2, 0, 1, 3)  # node, column, (g, h), bin
-    total = by_node[:, 0].sum(axis=2)
-    left = np.cumsum(by_node, axis=3)[..., :-1]
-    right = total[:, None, :, None] - left
-    part = lambda s: s[:, :, 0] ** 2 / (s[:, :, 1] + l2)
-    gain = part(left) + part(right) - (total[:, 0] ** 2 / (total[:, 1] + l2))[:, None, None]
-    inside = np.arange(left.shape[3])[None, :] < np.array([len(cuts[c]) for c in columns])[:, None]
-    allowed = inside[None] & (left[:, :, 1] >= least_weight) & (right[:, :, 1] >= least_weight)
-    gain = np.where(allowed, gain, -np.inf).reshape(nodes, -1)
-    best = gain.argmax(axis=1)
-    column, cut = np.unravel_index(best, left.shape[1:2] + left.shape[3:])
-    each = np.arange(nodes)
-    return {"total": total, "gain": gain[each, best], "column": column, "bin": cut, "left": left[each, column, :, cut]}
+def _best_cuts(sums: np.ndarray, nodes: int, cuts: int, l2: float, least_weight: float) -> dict[str, np.ndarray]:
+    """For each node its sums over a column's bins and the best split by this column: gain, bin and the sums to its left."""
+    by_node = sums.reshape(2, nodes, -1).transpose(1, 0, 2)  # node, (g, h), bin
+    total = by_node.sum(axis=2)
+    left = np.cumsum(by_node, axis=2)[..., :-1]
+    right = total[..., None] - left
+    part = lambda s: s[:, 0] ** 2 / (s[:, 1] + l2)
+    gain = part(left) + part(right) - part(total)[:, None]
+    allowed = (np.arange(left.shape[2]) < cuts) & (left[:, 1] >= least_weight) & (right[:, 1] >= least_weight)
+    gain = np.where(allowed, gain, -np.inf)
+    best, each = gain.argmax(axis=1), np.arange(nodes)
+    return {"total": total, "gain": gain[each, best], "bin": best, "left": left[each, :, best]}
+
+
+def _best_splits(found: Iterable[tuple[int, dict[str, np.ndarray]]]) -> dict[str, np.ndarray]:
+    """For each node its sums and its best split over all columns, the first of equal ones."""
+    by_column = [cuts for _, cuts in sorted(found, key=lambda pair: pair[0])]
+    column = np.array([cuts["gain"] for cuts in by_column]).argmax(axis=0)
+    each = np.arange(len(column))
+    chosen = {name: np.array([cuts[name] for cuts in by_column])[column, each] for name in ("gain", "bin", "left")}
+    return {"total": by_column[0]["total"], "column": column, **chosen}
 
 
 def fit(df: DataFrame, features: Sequence[str], target: str, rounds: int = 400, depth: int = 6, rate: float = 0.05, row_share: float = 0.9,
@@ -249,12 +261,16 @@ def _grow(state, pending: list[Tree], cuts: list[np.ndarray], columns: np.ndarra
             total = 0
             for block in blocks:
                 total = total + _sums(block, positive_weight, pending, tree, depth, level, nodes, columns, row_share, seed, bins)
-            return [total] if not np.isscalar(total) else []
+            return list(enumerate(total)) if not np.isscalar(total) else []
+
+        def best(pair, many=len(nodes)):
+            i, sums = pair
+            return i, _best_cuts(sums, many, len(cuts[columns[i]]), l2, least_weight)
 
-        # Few partial sums come to the driver at once, more are first added among tasks.
         parts = state.mapPartitions(job)
-        sums = parts.reduce(np.add) if state.getNumPartitions() <= FEW_PARTIALS else parts.treeReduce(np.add)
-        found = _best_splits(sums, len(nodes), cuts, columns, l2, least_weight)
+        if state.getNumPartitions() > 1:
+            parts = parts.reduceByKey(np.add, min(len(columns), state.getNumPartitions()))
+        found = _best_splits(parts.map(best).collect())
         leaf = lambda s: -rate * s[..., 0] / (s[..., 1] + l2)
         if not level:
             tree.value[0] = leaf(found["total"])[0]

@@ -1,7 +1,10 @@
 """Boosted trees against a plain version that looks at every value, held-out ranking, odd inputs, saved models."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from failscope.operators import boosting as B
@@ -101,6 +104,26 @@ def test_columns_are_sampled_by_tree_and_jobs_by_level(spark):
     assert len(again.trees) == 3
 
 
+def test_driver_sees_the_best_splits_alone(spark, monkeypatch):
+    """What a job sends is the same for many blocks as for one, and does not hold the bins."""
+    rng = np.random.default_rng(6)
+    x, y = sample(rng, 2000)
+    df, plain_collect, most = frame(spark, x, y), RDD.collect, []
+
+    def collect(self):
+        found = plain_collect(self)
+        most[-1] = max(most[-1], len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", collect)
+    for block_rows in (1 << 14, 50):
+        most.append(0)
+        B.fit(df, FEATURES, "y", rounds=2, depth=5, block_rows=block_rows)
+    assert most[1] < 1.2 * most[0] and 0 < max(most) < 20_000
+    assert B.partitions_for(df, 10_000_000, 1 << 14) == spark.sparkContext.defaultParallelism < B.partitions_for(df, 1 << 40, 1 << 14)
+    assert B.partitions_for(df, 0, 1 << 14) == 1 and B.partitions_for(df, 20_000, 1 << 14) == 2
+
+
 def test_saved_model_scores_alike(spark, tmp_path):
     rng = np.random.default_rng(4)
     x, y = sample(rng, 300)
