@@ -4,8 +4,10 @@ All starts read the same blocks at the same time.  Their first centres come from
 over all rows: a pass draws the next centre of every start, each block offering the row that
 wins a race of exponential clocks with rates as the squared distances, so the least clock
 over all blocks is an exact draw.  Then each pass moves the centres of all live starts; one
-whose centres moved less than the tolerance leaves.  A pass sends starts x k x columns
-numbers a partition and is one job.
+whose centres moved less than the tolerance leaves.  A pass is one job: the sums of the
+partitions are dealt by start and added, and the driver gets starts x k x columns numbers,
+whatever the rows.  Blocks lie in as many partitions as there are cores, or in partitions of
+``PARTITION_ROWS`` rows, so that the tasks of a job do not grow with the blocks.
 
 The loop keeps numpy blocks of a written table in a persisted RDD; a lost block is read again.
 A cluster that loses all its rows keeps its centre.  With fewer different rows than k some centres coincide.
@@ -25,7 +27,7 @@ from pyspark.storagelevel import StorageLevel
 
 from failscope.storage import drop, materialize
 
-PARTITION_ROWS, BLOCK_ROWS, FEW_PARTIALS = 1 << 15, 1 << 12, 16
+FEWEST_ROWS, PARTITION_ROWS, BLOCK_ROWS = 1 << 15, 1 << 18, 1 << 12
 
 
 @dataclass
@@ -125,7 +127,9 @@ def _blocks(df: DataFrame, vector: str):
                 yield pa.record_batch({name: pa.array([array.tobytes()]) for name, array in (("indptr", b.indptr), ("index", b.index), ("value", b.value))})
 
     # Dealt evenly, whatever repeats, and ordered, as draws go by a row's place in its block.
-    dealt = rows.select("index", "value").repartition(max(1, -(-n // PARTITION_ROWS))).sortWithinPartitions("index", "value")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partitions = max(1, min(-(-n // FEWEST_ROWS), max(cores, -(-n // PARTITION_ROWS))))
+    dealt = rows.select("index", "value").repartition(partitions).sortWithinPartitions("index", "value")
     packed = dealt.mapInArrow(pack, "indptr binary, index binary, value binary")
     table = materialize(packed.select(F.monotonically_increasing_id().alias("number"), "*"), "blocks")
     drop(rows)
@@ -134,8 +138,10 @@ def _blocks(df: DataFrame, vector: str):
     return table, blocks.persist(StorageLevel.MEMORY_AND_DISK), width
 
 
-def _reduced(parts, add):
-    return parts.reduce(add) if parts.getNumPartitions() <= FEW_PARTIALS else parts.treeReduce(add)
+def _reduced(parts, add, starts: int) -> list:
+    """What the partitions say of each start, put together among the tasks, in the order of the starts."""
+    many = parts.getNumPartitions()
+    return [x for _, x in sorted((parts.reduceByKey(add, min(starts, many)) if many > 1 else parts).collect(), key=lambda pair: pair[0])]
 
 
 def _first_centres(blocks, k: int, seeds: Sequence[int]) -> np.ndarray:
@@ -153,9 +159,9 @@ def _first_centres(blocks, k: int, seeds: Sequence[int]) -> np.ndarray:
                     i = int(clock.argmin())
                     if clock[i] < best[s][0]:
                         best[s] = (clock[i], block.point(i))
-            return [best]
+            return list(enumerate(best))
 
-        won = _reduced(blocks.mapPartitions(offer), lambda a, b: [min(x, y, key=lambda o: o[0]) for x, y in zip(a, b)])
+        won = _reduced(blocks.mapPartitions(offer), lambda a, b: min(a, b, key=lambda o: o[0]), len(seeds))
         drawn = np.array([point for _, point in won])[:, None, :]
         chosen = drawn if chosen is None else np.concatenate([chosen, drawn], axis=1)
     return chosen
@@ -176,9 +182,10 @@ def fit(df: DataFrame, vector: str, k: int, seeds: Sequence[int], max_iter: int
                 for s in range(len(points)):
                     sums[s] += block.sums(label[:, s], k)
                     counts[s] += np.bincount(label[:, s], minlength=k)
-            return [(sums, counts, cost)]
+            return list(enumerate(zip(sums, counts, cost)))
 
-        sums, counts, cost = _reduced(blocks.mapPartitions(step), lambda a, b: tuple(x + y for x, y in zip(a, b)))
+        found = _reduced(blocks.mapPartitions(step), lambda a, b: tuple(x + y for x, y in zip(a, b)), len(live))
+        sums, counts, cost = map(np.array, zip(*found))
         costs[live] = cost
         if moved == max_iter:
             break

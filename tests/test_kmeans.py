@@ -1,7 +1,10 @@
 """Shared k-means passes against single fits, dense and sparse rows, odd inputs."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -64,6 +67,27 @@ def test_first_centres_are_drawn_by_squared_distance(spark):
     assert all(len({tuple(p) for p in start}) == 4 for start in first)
 
 
+def test_driver_gets_the_same_whatever_the_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (100, 40)) for c in rng.uniform(-5, 5, (8, 40))])
+    df, plain_collect, most = frame(spark, [Vectors.dense(r) for r in x]), RDD.collect, []
+
+    def collect(self):
+        found = plain_collect(self)
+        most[-1] = max(most[-1], len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", collect)
+    costs = []
+    for rows in (1 << 15, 40):
+        monkeypatch.setattr(M, "FEWEST_ROWS", rows, raising=False)
+        monkeypatch.setattr(M, "PARTITION_ROWS", rows)
+        most.append(0)
+        costs.append(M.fit(df, "v", 8, [1, 2, 3]).cost)
+    assert most[1] < 1.2 * most[0] and 0 < max(most) < 1.5 * 3 * 8 * 40 * 8
+    assert costs[1] < 1.5 * costs[0]
+
+
 def test_odd_inputs(spark):
     same = frame(spark, [Vectors.dense([1.0, 2.0])] * 5 + [None])
     model = M.fit(same, "v", 3, [1])
