@@ -17,34 +17,57 @@ from failscope.operators.boosting import BoostedTrees, fit
 from failscope.operators.encode import class_weight, target_encode, target_encode_fitted
 from failscope.operators.vectors import tfidf_model
 from failscope.sources.columns import add_missing, present, resolve
-from failscope.storage import by_content
+from failscope.storage import by_content, materialize
 
 LOW_CONFIDENCE = 0.6
+#: Rows that are alike in text and label are bagged one by one up to this number, beyond it in so many even shares.
+SHARES = 4096
 
 
 def status_classifier(train: DataFrame, text: str = "error_msg", label: str = "label", trees: int = 300,
                       depth: int = 30, max_features: int = 5000, seed: int = 42) -> PipelineModel:
-    """Random forest on TF-IDF of the message."""
-    train = by_content(train.select(text, label))
-    vectors = tfidf_model(train, text, max_features)
-    filled = train.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    """Random forest on TF-IDF of the message.
+
+    Logs say the same again and again: equal rows are counted first, and weigh as many as they are.
+    """
+    filled = train.select(F.coalesce(F.col(text), F.lit("")).alias(text), label)
+    train = materialize(filled.groupBy(text, label).agg(F.count(F.lit(1)).alias("__rows")), "messages")
+    vectors = tfidf_model(train, text, max_features, rows="__rows")
     index = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     # "keep" adds a class for unseen labels, which training never uses.
     forest = RandomForestClassifier(
         featuresCol="tfidf", labelCol="__label", predictionCol="__predicted", probabilityCol="__probability",
-        rawPredictionCol="__raw", numTrees=trees, maxDepth=depth, seed=seed)
-    ready = index.transform(vectors.transform(filled))
-    model = forest.fit(ready.select("tfidf", "__label"))
+        rawPredictionCol="__raw", weightCol="__weight", numTrees=trees, maxDepth=depth, seed=seed)
+    ready = index.transform(vectors.transform(bagged(train, "__rows")))
+    model = forest.fit(ready.select("tfidf", "__label", "__weight"))
     names = IndexToString(inputCol="__predicted", outputCol="predictedlabel", labels=index.labels)
     return PipelineModel(stages=[*vectors.stages, index, model, names])
 
 
+def bagged(counted: DataFrame, rows: str) -> DataFrame:
+    """Counted rows as rows to draw bags from, with ``__weight``: 1 up to ``SHARES`` rows, else shares that sum to their number.
+
+    Dealt by content and put in order, so that the bags are the same whatever the layout of the input.
+    """
+    n = F.col(rows)
+    shares = F.least(n, F.lit(SHARES))
+    spread = counted.withColumn("__share", F.explode(F.sequence(F.lit(1).cast("bigint"), shares)))
+    weighted = spread.withColumn("__weight", (F.floor(n / shares) + (F.col("__share") <= n % shares).cast("int")).cast("double"))
+    return by_content(weighted).sortWithinPartitions(*weighted.columns)
+
+
 def classified(df: DataFrame, model: PipelineModel, text: str = "error_msg", label: str = "label",
                threshold: float = LOW_CONFIDENCE) -> DataFrame:
-    """Predicted and actual status with confidence, for all rows."""
-    rows = add_missing(df, {c: "N/A" for c in ("test_case_id", "filename", "dut", "suite", "cluster")})
-    out = model.transform(rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
-    confidence = F.array_max(vector_to_array("__probability"))
+    """Predicted and actual status with confidence, for all rows; each different message is judged once."""
+    rows = add_missing(df, {c: "N/A" for c in ("test_case_id", "filename", "dut", "suite", "cluster")}).withColumn(
+        text, F.coalesce(F.col(text), F.lit("")))
+    # StringIndexer asks for the label column, which no prediction looks at.
+    messages = rows.groupBy(text).agg(F.first(label).alias(label))
+    judged = model.transform(by_content(messages)).select(
+        F.col(text).alias("__message"), "predictedlabel", F.array_max(vector_to_array("__probability")).alias("__confidence"))
+    # Written, the judged messages have their true size: few are sent to all tasks, many are dealt by message.
+    out = rows.join(materialize(judged, "judged"), F.col(text) == F.col("__message"), "left")
+    confidence = F.col("__confidence")
     return out.select(
         "test_case_id", "filename", "dut", "suite", F.col("cluster").alias("cluster_label"), "predictedlabel",
         F.col(label).alias("actualstatus"), confidence.alias("confidence"),

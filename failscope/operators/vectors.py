@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler,
+    IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
@@ -28,25 +29,41 @@ def term_stages(text: str, bigrams: bool = True, stop_words: Sequence[str] = K.S
 
 
 def tfidf_model(df: DataFrame, text: str, max_features: int = 5000, bigrams: bool = True,
-                output: str = "tfidf", stop_words: Sequence[str] = K.SPARK_STOP_WORDS) -> PipelineModel:
+                output: str = "tfidf", stop_words: Sequence[str] = K.SPARK_STOP_WORDS, rows: str | None = None) -> PipelineModel:
     """Fitted smoothed TF-IDF with L2 norm; the vocabulary is kept on the driver.
 
     For a vocabulary without a bound see :func:`failscope.operators.terms.tfidf_unbounded`.
+    ``rows`` may name a column that says how many equal rows a row stands for.
 
     Spark's IDF lacks the "+ 1" of the smoothed form, hence the term counts are
     multiplied with ``idf + 1``.
     """
     head, terms = term_stages(text, bigrams, stop_words)
-    counter = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=max_features)
-    source = df.select(F.coalesce(F.col(text), F.lit("")).alias(text))
-    counting = Pipeline(stages=[*head, counter]).fit(source)
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(counting.transform(source).select("__tf")).idf
+    filled = F.coalesce(F.col(text), F.lit("")).alias(text)
+    if rows is None:
+        counter = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=max_features)
+        source = df.select(filled)
+        counting = Pipeline(stages=[*head, counter]).fit(source)
+        idf = IDF(inputCol="__tf", outputCol="__idf").fit(counting.transform(source).select("__tf")).idf.toArray()
+    else:
+        vocabulary, idf = _counted_vocabulary(PipelineModel(stages=head).transform(df.select(filled, rows)), terms, rows, max_features)
+        counting = PipelineModel(stages=[*head, CountVectorizerModel.from_vocabulary(vocabulary, inputCol=terms, outputCol="__tf")])
     weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([float(v) + 1.0 for v in idf.toArray()]), inputCol="__tf", outputCol="__weighted")
+        scalingVec=Vectors.dense([float(v) + 1.0 for v in idf]), inputCol="__tf", outputCol="__weighted")
     norm = Normalizer(p=2.0, inputCol="__weighted", outputCol=output)
     return PipelineModel(stages=[*counting.stages, weigh, norm])
 
 
+def _counted_vocabulary(split: DataFrame, terms: str, rows: str, max_features: int) -> tuple[list[str], list[float]]:
+    """The most frequent terms, ties by the term, and their idf; each row counts as ``rows`` rows."""
+    many = split.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    of_row = split.select(rows, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.sum(rows).alias("rows"))
+    found = split.select(rows, F.explode(terms).alias("term")).groupBy("term").agg(F.sum(rows).alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
+    # At most ``max_features`` terms.
+    kept = found.join(of_row, "term").orderBy(F.desc("n"), "term").collect()
+    return [r["term"] for r in kept], [math.log((many + 1) / (r["rows"] + 1)) for r in kept]
+
+
 def tfidf(df: DataFrame, model: PipelineModel, text: str, output: str = "tfidf") -> DataFrame:
     out = model.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
     return out.select(*df.columns, output)

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from failscope.operators import anomaly as A
+from failscope.operators import classify as C
 from failscope.operators import encode as N
 from failscope.operators import vectors as X
 from failscope.operators.cluster import best_kmeans, encode_messages
@@ -33,6 +34,29 @@ def test_tfidf_against_brute_force(spark):
         assert got[i] == pytest.approx(list(want))
 
 
+def test_equal_messages_are_counted_not_repeated(spark, monkeypatch):
+    """The vectors of counted rows are those of the rows; a forest sees each different row at most ``SHARES`` times, with all its weight."""
+    many = [(t, "a" if (t or "").startswith("p") else "b") for i, t in enumerate(TEXTS) for _ in range(50 * (i + 1))]
+    df = spark.createDataFrame(many, "t string, label string")
+    counted = df.groupBy("t").agg(F.count("*").alias("n"))
+    plain, ours = X.tfidf_model(df, "t", 1000), X.tfidf_model(counted, "t", 1000, rows="n")
+    assert set(plain.stages[-3].vocabulary) == set(ours.stages[-3].vocabulary)
+    entries = lambda m: [dict(zip(np.array(m.stages[-3].vocabulary)[r.tfidf.indices], r.tfidf.values)) for r in X.tfidf(counted, m, "t").orderBy("t").collect()]
+    for a, b in zip(entries(plain), entries(ours)):
+        assert a == pytest.approx(b)
+    monkeypatch.setattr(C, "SHARES", 60)
+    shares = C.bagged(df.groupBy("t", "label").agg(F.count("*").alias("n")), "n").groupBy("t", "n").agg(
+        F.count("*").alias("shares"), F.sum("__weight").alias("weight"), (F.max("__weight") - F.min("__weight")).alias("spread")).collect()
+    assert all(r.weight == r.n and r.shares == min(r.n, 60) and r.spread <= 1 for r in shares)
+    seen = []
+    fit = C.RandomForestClassifier.fit
+    monkeypatch.setattr(C.RandomForestClassifier, "fit", lambda self, ready: seen.append(ready.count()) or fit(self, ready))
+    model = C.status_classifier(df, "t", trees=20, depth=5, max_features=50)
+    assert seen[0] <= 60 * 7 < len(many)
+    got = C.classified(df, model, "t")
+    assert got.count() == len(many) and got.where("predictedlabel <> actualstatus OR confidence IS NULL").count() == 0
+
+
 def test_principal_axes_against_svd(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1]
