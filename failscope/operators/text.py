@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from failscope import constants as K
 from failscope.functions.parse import tokens
@@ -57,23 +60,43 @@ def tfidf_weights(df: DataFrame, row_id: str, group: str, message: str, max_feat
     """(row, group, term, weight): smoothed TF-IDF, L2-normalised per row, over the most frequent terms."""
     # A small input may come as one row group, which one task would tokenise.
     docs = spread_small(df.select(row_id, group, F.coalesce(F.col(message), F.lit("")).alias("__text")))
-    # Counted where the text is read; only (row, term, count) is shuffled and written, for both uses below.
-    words = docs.select(
-        row_id, group,
-        F.explode(F.filter(F.regexp_extract_all(F.lower("__text"), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)),
-                           lambda w: ~w.isin(list(stop_words)))).alias("term"))
-    counts = materialize(words.groupBy(row_id, group, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
-    documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vocabulary = top_rows(
-        counts.groupBy("term").agg(F.sum("tf").alias("__all"), F.count(F.lit(1)).alias("df")),
-        [F.col("__all").desc(), F.col("term")], max_features)
-    idf = vocabulary.select("term", (F.log((F.lit(1) + documents) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
-    # At most ``max_features`` rows.
-    weighted = counts.join(F.broadcast(idf), "term").select(
-        row_id, group, "term", (F.col("tf") * F.col("idf")).alias("__w"))
-    # The terms of one row, which are already together.
-    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(row_id)))
-    return weighted.select(row_id, group, "term", (F.col("__w") / norm).alias("weight"))
+    words = F.filter(F.regexp_extract_all(F.lower("__text"), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)), lambda w: ~w.isin(list(stop_words)))
+    # At most ``max_features`` terms. They are known before anything is dealt by row, so that the others stay where they are read.
+    vocabulary = [r["term"] for r in top_rows(
+        docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("__all")),
+        [F.col("__all").desc(), F.col("term")], max_features).collect()]
+    found = docs.select(row_id, group, _counted(vocabulary)(words).alias("__found")).where(F.size("__found") > 0)
+    # Dealt once by row, as numbers; an id that comes again adds to the row's counts.
+    counts = found.repartition(row_id).select(row_id, group, F.inline("__found")).groupBy(row_id, group, "i").agg(F.sum("n").alias("tf"))
+    listed = materialize(counts.groupBy(row_id).agg(F.collect_list(F.struct(F.col(group).alias("g"), "i", "tf")).alias("__terms")), "terms")
+    documents = df.count()
+    rows_of = {r["i"]: r["df"] for r in listed.select(F.explode("__terms.i").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("df")).collect()}
+    idf = _array([math.log((1 + documents) / (1 + rows_of.get(i, 0))) + 1 for i in range(len(vocabulary))], "double")
+    weighted = listed.select(row_id, F.transform("__terms", lambda t: F.struct(
+        t["g"].alias(group), t["i"].alias("i"), (t["tf"] * F.get(idf, t["i"])).alias("w"))).alias("__terms"))
+    norm = F.sqrt(F.aggregate("__terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
+    return weighted.select(row_id, norm.alias("__norm"), F.inline("__terms")).select(
+        row_id, group, F.get(_array(vocabulary, "string"), F.col("i")).alias("term"), (F.col("w") / F.col("__norm")).alias("weight"))
+
+
+def _array(values: Sequence, kind: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+def _counted(vocabulary: Sequence[str]):
+    """Lists of words as lists of (i, n): how often the i-th word of the vocabulary is among them."""
+
+    @F.arrow_udf("array<struct<i:int,n:int>>")
+    def run(words: pa.Array) -> pa.Array:
+        size, row = max(len(vocabulary), 1), np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+        flat = words.flatten()
+        at = pc.fill_null(pc.index_in(flat, value_set=pa.array(vocabulary, flat.type)), -1).to_numpy()
+        key, n = np.unique((row * size + at)[at >= 0], return_counts=True)
+        bounds = np.searchsorted(key, np.arange(len(words) + 1) * size)
+        pairs = pa.StructArray.from_arrays([pa.array(key % size, pa.int32()), pa.array(n, pa.int32())], names=["i", "n"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
+
+    return run
 
 
 def tfidf_keywords(df: DataFrame, row_id: str, group: str, message: str, top: int = 5,

@@ -40,3 +40,28 @@ def test_tables_of_a_run_are_removed(spark, tmp_path):
         assert not system.exists(path)
     finally:
         storage._RUN = kept
+
+
+def test_only_the_vocabulary_is_dealt_by_row(spark, monkeypatch):
+    """Weights of the frequent terms, with repeated and null ids; the other terms are not written."""
+    import math
+    from collections import Counter
+
+    from failscope.operators import text as X
+
+    texts = [(1, "a", "port port closed"), (1, "a", "port open"), (1, "b", "open"), (None, "a", "port"), (None, "b", None), (2, None, "open rare word")]
+    df = spark.createDataFrame(texts, "id int, g string, t string").repartition(3)
+    written, write = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda rows, label: written.append(write(rows, label)) or written[-1])
+    got = {(r.id, r.g, r.term): r.weight for r in X.tfidf_weights(df, "id", "g", "t", 2).collect()}
+    counts = {}
+    for i, g, t in texts:
+        counts.setdefault((i, g), Counter()).update(w for w in (t or "").split() if w in ("port", "open"))
+    rows_of = Counter(w for c in counts.values() for w in c)
+    weight = {(i, g, w): n * (math.log((1 + len(texts)) / (1 + rows_of[w])) + 1) for (i, g), c in counts.items() for w, n in c.items()}
+    norm = Counter()
+    for (i, _, _), w in weight.items():
+        norm[i] += w * w
+    assert got.keys() == weight.keys() and all(abs(got[k] - w / norm[k[0]] ** 0.5) < 1e-9 for k, w in weight.items())
+    assert len(written) == 1 and sum(len(r["__terms"]) for r in written[0].collect()) == len(weight)
+    assert X.tfidf_weights(df.where("false"), "id", "g", "t").count() == 0
