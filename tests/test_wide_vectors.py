@@ -7,6 +7,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from failscope.operators import principal as P
+from failscope.operators import terms
 from failscope.operators import vectors as X
 from failscope.operators.terms import tfidf_unbounded
 
@@ -27,6 +28,19 @@ def test_unbounded_vocabulary_as_the_fitted_model(spark, bigrams):
     assert tfidf_unbounded(df.limit(0), "t").count() == 0
 
 
+def test_blocks_hold_each_term_once(spark, monkeypatch):
+    """Terms are counted where they are read: a block has a term once, however many rows have it; small blocks give the same vectors."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 5)], "id int, t string").coalesce(1)
+    rows = df.withColumn(terms._ROW, F.monotonically_increasing_id())
+    found = terms.term_blocks(rows, "t", False, ["on"]).collect()
+    assert len(found) == 1 and sorted(found[0].terms) == ["capture", "closed", "failed", "mismatch", "one", "port"]
+    assert dict(zip(found[0].terms, zip(found[0].total, found[0].having)))["port"] == (20, 15)
+    entries = lambda out: sorted((r.id, r.tfidf.indices.tolist(), np.round(r.tfidf.values, 9).tolist()) for r in out.collect())
+    whole = entries(tfidf_unbounded(df, "t"))
+    monkeypatch.setattr(terms, "BLOCK_TERMS", 3)
+    assert terms.term_blocks(rows, "t", False, ["on"]).count() > 10 and entries(tfidf_unbounded(df, "t")) == whole
+
+
 def exact(x, standardise=False):
     z = x - x.mean(axis=0)
     z = z / np.where(x.std(axis=0) > 0, x.std(axis=0), 1) if standardise else z
