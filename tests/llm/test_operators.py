@@ -472,6 +472,43 @@ def test_perplexity_of_rare_contexts(spark, monkeypatch):
     assert all(abs(sliced[i][0] - got[i][0]) < 0.02 * abs(got[i][0]) for i in got)
 
 
+def test_perplexity_sums_are_exact(monkeypatch):
+    """Sums of pairs, also where two pairs have one key; parts are ranges of the sorted keys."""
+    rng = np.random.default_rng(3)
+    c, w = rng.integers(-5, 5, 500), rng.integers(-3, 3, 500)
+    want = {}
+    for a, b in zip(c.tolist(), w.tolist()):
+        want[a, b] = want.get((a, b), 0) + 1
+    for key in (perplexity.pair_key, lambda c, w: np.zeros(len(c), np.int64)):
+        monkeypatch.setattr(perplexity, "pair_key", key)
+        a, b, n = perplexity._summed(c, w, np.ones(500, np.int64))
+        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == want and len(a) == len(want)
+    keys = np.sort(rng.integers(-2**63, 2**63 - 1, 5000))
+    part = perplexity.part_of(keys, 7)
+    assert (np.diff(part) >= 0).all() and set(part) == set(range(7)) and np.bincount(part).min() > 500
+    for x in (keys[rng.integers(0, 50, 300)], keys[:0]):
+        distinct, at = perplexity._ranked(x)
+        assert (distinct == np.unique(x)).all() and (distinct[at] == x).all() and (perplexity._distinct(x) == distinct).all()
+
+
+def test_perplexity_holds_little(spark, monkeypatch):
+    """Pairs are packed blocks, not rows; what a pass has asked is gone before the texts are judged."""
+    written, left, write = {}, {}, perplexity.materialize
+
+    def kept(df, label="stage", *args, **named):
+        if label == "scores":
+            left.update({x: sum(spark.read.parquet(f).count() for f in written[x].inputFiles() if os.path.exists(f.removeprefix("file://"))) for x in ("requests", "blocks")})
+        written[label] = write(df, label, *args, **named)
+        return written[label]
+
+    monkeypatch.setattr(perplexity, "materialize", kept)
+    df = spark.createDataFrame(rows([prose(4000 + i, 300) for i in range(20)]), SCHEMA)
+    model = perplexity.learn(df)
+    assert 1 <= written["pairs"].count() < 10 < model.pairs.count()
+    assert perplexity.score(df, model).count() == 20
+    assert left == {"requests": 0, "blocks": 0}
+
+
 def test_language_id(spark, odd):
     texts = {"aa": [prose(i, 25, "abcdefgh") for i in range(60)], "bb": [prose(i, 25, "hijklmnop") for i in range(60)]}
     data = [(i * 2 + k, t, lang, None, None, None, None, None) for k, (lang, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
