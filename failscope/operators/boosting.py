@@ -1,25 +1,27 @@
 """Gradient-boosted trees by Newton steps on binned histograms.
 
 Features are cut at their quantiles once (at most ``BINS`` bins) and the rows kept as blocks
-of at most ``BLOCK_ROWS`` rows of one byte a feature.  Each level of a tree is one job: every
-block adds up the gradients of its rows by (node, feature, bin), the sums are dealt by feature
-and added, and the driver sees the best split of each (node, feature) alone, whatever the rows
-and bins.  Blocks lie in as many partitions as there are cores, or in partitions of
-``PART_ROWS`` rows, so that the tasks of a job do not grow with the blocks.  Leaves come from
-the sums of the last level, so a tree of depth d takes d jobs.  Columns are sampled for each tree, rows for each tree by a seed of their
+of at most ``BLOCK_ROWS`` rows of one byte a feature, in a written table.  For each level of a
+tree every block adds up the gradients of its rows by (node, feature, bin); the best split of
+each (node, feature) is chosen from the sums of all blocks.  Leaves come from the sums of the
+last level.  Columns are sampled for each tree, rows for each tree by a seed of their
 block, leaves are shrunk by ``l2``.
 
-The loop keeps imperative state (a margin for each row), so it runs on a persisted RDD of
-numpy blocks over a written table: a lost block is read again and its margins are computed
-again from the trees.  Margins take in new trees every ``KEEP`` rounds, and are written
-every ``WRITE`` rounds, so that neither lineage nor closures grow with the rounds.
+Up to ``TASK_CELLS`` rows x features one task holds the blocks (a byte for each feature of
+a row and some 40 bytes beside) and grows all trees, since a job for each level would wait for
+Spark most of the time; the driver sees the trees alone.  Beyond, each level is one job over
+persisted blocks: the sums are dealt by feature and added, and the driver sees the best split
+of each (node, feature) alone, whatever the rows and bins.  Blocks lie in as many partitions
+as there are cores, or in partitions of ``PART_ROWS`` rows, so that the tasks of a job do not
+grow with the blocks.  A lost block is read again and its margins are computed again from the
+trees; margins are written every ``WRITE`` rounds, so that lineage does not grow with the rounds.
 
 Null and NaN features count as 0.  Without rows the model has no trees and scores 0.5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +35,9 @@ from failscope.storage import drop, materialize
 
 BINS, BLOCK_ROWS = 256, 1 << 14
 PART_ROWS = 1 << 21
-KEEP, WRITE = 8, 40
+#: Rows x features up to which one task holds all blocks and grows all trees.
+TASK_CELLS = 1 << 25
+WRITE = 40
 _LEAST_GAIN = 1e-6
 
 
@@ -56,9 +60,18 @@ class Tree:
             at = np.where(goes_left(at), self.left[at], self.right[at])
         return at
 
+    def step(self, at: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """The node after this one of each row; a leaf's rows stay. Right children follow the left ones."""
+        place = (self.feature * bins.shape[1])[at]
+        place += np.arange(bins.shape[1])
+        last = np.where(self.left == np.arange(len(self.left)), 255, self.bin).astype(np.uint8)
+        return self.left[at] + (bins.reshape(-1)[place] > last[at])
+
     def binned(self, depth: int, bins: np.ndarray) -> np.ndarray:
-        rows = np.arange(bins.shape[1])
-        return self.leaves(depth, lambda at: bins[self.feature[at], rows] <= self.bin[at])
+        at = np.zeros(bins.shape[1], np.int64)
+        for _ in range(depth):
+            at = self.step(at, bins)
+        return at
 
 
 @dataclass
@@ -158,28 +171,53 @@ _SHAPE = "block bigint, n bigint, bins binary, label binary, margin binary"
 
 
 def _read(table: DataFrame, features: int):
-    """Persisted blocks (number, bins by feature, labels, margins)."""
-    blocks = table.rdd.map(lambda r: (r.block, np.frombuffer(r.bins, np.uint8).reshape(features, r.n), np.frombuffer(r.label, np.uint8), np.frombuffer(r.margin)))
-    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    """Blocks (number, bins by feature, labels, margins)."""
+    return table.rdd.map(lambda r: (r.block, np.frombuffer(r.bins, np.uint8).reshape(features, r.n), np.frombuffer(r.label, np.uint8), np.frombuffer(r.margin)))
 
 
-def _sums(block: tuple, weight: float, pending: list[Tree], tree: Tree, depth: int, level: int, nodes: np.ndarray, columns: np.ndarray,
-          share: float, seed: Sequence[int], bins: int) -> np.ndarray:
+@dataclass
+class Plan:
+    """How trees are grown; a bin is cut off by each of a feature's ``cuts``."""
+
+    cuts: list[np.ndarray]
+    depth: int
+    rate: float
+    row_share: float
+    column_share: float
+    positive_weight: float
+    l2: float
+    least_weight: float
+    bins: int
+    seed: int
+
+    def columns(self, number: int) -> np.ndarray:
+        """The columns of a tree."""
+        count = len(self.cuts)
+        return np.sort(np.random.default_rng([self.seed, number]).choice(count, max(1, int(self.column_share * count)), replace=False))
+
+    def gradients(self, number: int, key: int, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and curvatures of a block for a tree, 0 for the rows that it does not draw."""
+        p = 1 / (1 + np.exp(-margin))
+        w = np.where(y == 1, self.positive_weight, 1.0)
+        w[np.random.default_rng([self.seed, number, key]).random(len(y)) >= self.row_share] = 0
+        return (p - y) * w, np.maximum(p * (1 - p), 1e-16) * w
+
+    def cut(self, i: int, sums: np.ndarray, columns: np.ndarray, many: int) -> tuple[int, dict[str, np.ndarray]]:
+        """The best splits by the i-th of the columns."""
+        return i, _best_cuts(sums, many, len(self.cuts[columns[i]]), self.l2, self.least_weight)
+
+
+def _sums(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, tree: Tree, nodes: np.ndarray, columns: np.ndarray, bins: int) -> np.ndarray:
     """Gradients and curvatures of a block by (node of the level, column, bin)."""
-    key, x, y, margin = block
-    margin = margin + sum(t.value[t.binned(depth, x)] for t in pending) if pending else margin
-    p = 1 / (1 + np.exp(-margin))
-    w = np.where(y == 1, weight, 1.0)
-    place = np.full(len(tree.left), -1)
-    place[nodes] = np.arange(len(nodes))
-    at = place[np.broadcast_to(tree.binned(level, x), len(y))] if level else np.zeros(len(y), np.int64)
-    rows = np.flatnonzero((np.random.default_rng([*seed, key]).random(len(y)) < share) & (at >= 0))
-    g, h = ((p - y) * w)[rows], np.maximum(p * (1 - p), 1e-16)[rows] * w[rows]
-    out, base = np.empty((len(columns), 2, len(nodes) * bins)), at[rows] * bins
+    many = len(nodes)
+    # Rows that rest in a leaf are added up behind the others.
+    place = np.full(len(tree.left), many)
+    place[nodes] = np.arange(many)
+    out, base, size = np.empty((len(columns), 2, many * bins)), (place * bins)[at], many * bins
     for i, c in enumerate(columns):
-        cell = base + x[c, rows]
-        out[i, 0] = np.bincount(cell, g, len(nodes) * bins)
-        out[i, 1] = np.bincount(cell, h, len(nodes) * bins)
+        cell = base + x[c]
+        out[i, 0] = np.bincount(cell, g, size + bins)[:size]
+        out[i, 1] = np.bincount(cell, h, size + bins)[:size]
     return out
 
 
@@ -222,63 +260,94 @@ def fit(df: DataFrame, features: Sequence[str], target: str, rounds: int = 400,
     cuts = cut_points(clean, names, bins)
     table = _blocks(clean, names, target, cuts, n, block_rows)
     drop(clean)
-    count = len(features)
-    state = _read(table, count)
-    pending: list[Tree] = []
-    for number in range(rounds):
-        rng = np.random.default_rng([seed, number])
-        columns = np.sort(rng.choice(count, max(1, int(column_share * count)), replace=False))
-        tree = _grow(state, pending, cuts, columns, depth, rate, positive_weight, l2, least_weight, row_share, (seed, number), bins)
-        model.trees.append(tree)
-        pending.append(tree)
-        if len(pending) == KEEP:
-            old, added = state, list(pending)
-            state = state.map(lambda b, added=added: (*b[:3], b[3] + sum(t.value[t.binned(depth, b[1])] for t in added)))
-            if (number + 1) % WRITE:
-                state = state.persist(StorageLevel.MEMORY_AND_DISK)
-                state.count()
-            else:
-                rows = state.map(lambda b: (b[0], len(b[2]), b[1].tobytes(), b[2].tobytes(), b[3].tobytes()))
-                written, table = table, materialize(df.sparkSession.createDataFrame(rows, _SHAPE), "blocks")
-                state = _read(table, count)
-                state.count()
-                drop(written)
-            old.unpersist()
-            pending = []
-    state.unpersist()
+    plan = Plan(cuts, depth, rate, row_share, column_share, positive_weight, l2, least_weight, bins, seed)
+    if n * len(features) <= TASK_CELLS:
+        model.trees = _read(table, len(features)).coalesce(1).mapPartitions(lambda blocks: _in_a_task(blocks, rounds, plan)).collect()
+    else:
+        table = _by_jobs(table, rounds, plan, model.trees)
     drop(table)
     return model
 
 
-def _grow(state, pending: list[Tree], cuts: list[np.ndarray], columns: np.ndarray, depth: int, rate: float, positive_weight: float, l2: float,
-          least_weight: float, row_share: float, seed: tuple[int, int], bins: int) -> Tree:
-    """One tree, a job for each of its levels."""
-    size = (1 << (depth + 1)) - 1
+def _in_a_task(blocks: Iterable[tuple], rounds: int, plan: Plan) -> Iterator[Tree]:
+    """All trees over blocks that a single task holds."""
+    held, margins = [], []
+    for key, x, y, margin in sorted(blocks, key=lambda block: block[0]):
+        held.append((key, x, y))
+        margins.append(np.array(margin))
+    for number in range(rounds):
+        pulls = [plan.gradients(number, key, y, margin) for (key, _, y), margin in zip(held, margins)]
+        at = [np.zeros(len(y), np.int64) for _, _, y in held]
+
+        def found(tree: Tree, level: int, nodes: np.ndarray, columns: np.ndarray) -> dict[str, np.ndarray]:
+            total = 0
+            for i, (_, x, _) in enumerate(held):
+                if level:
+                    at[i] = tree.step(at[i], x)
+                total = total + _sums(x, *pulls[i], at[i], tree, nodes, columns, plan.bins)
+            return _best_splits(plan.cut(i, sums, columns, len(nodes)) for i, sums in enumerate(total))
+
+        tree = _grow(found, number, plan)
+        for i, (_, x, _) in enumerate(held):
+            margins[i] += tree.value[tree.step(at[i], x)]
+        yield tree
+
+
+def _by_jobs(table: DataFrame, rounds: int, plan: Plan, trees: list[Tree]) -> DataFrame:
+    """All trees, a job for each level; gives back the last written blocks.
+
+    A tree is added to the margins by the first job of the next one, which keeps them.
+    """
+    count = len(plan.cuts)
+    state, old = _read(table, count).persist(StorageLevel.MEMORY_AND_DISK), None
+    for number in range(rounds):
+        def found(tree: Tree, level: int, nodes: np.ndarray, columns: np.ndarray, state=state, number=number) -> dict[str, np.ndarray]:
+            def job(blocks):
+                total = 0
+                for key, x, y, margin in blocks:
+                    total = total + _sums(x, *plan.gradients(number, key, y, margin), tree.binned(level, x), tree, nodes, columns, plan.bins)
+                return list(enumerate(total)) if not np.isscalar(total) else []
+
+            parts = state.mapPartitions(job)
+            if state.getNumPartitions() > 1:
+                parts = parts.reduceByKey(np.add, min(len(columns), state.getNumPartitions()))
+            return _best_splits(parts.map(lambda pair: plan.cut(*pair, columns, len(nodes))).collect())
+
+        tree = _grow(found, number, plan)
+        trees.append(tree)
+        if old is not None:
+            old.unpersist()
+        old, state = state, state.map(lambda b, tree=tree: (*b[:3], b[3] + tree.value[tree.binned(plan.depth, b[1])]))
+        if (number + 1) % WRITE:
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            rows = state.map(lambda b: (b[0], len(b[2]), b[1].tobytes(), b[2].tobytes(), b[3].tobytes()))
+            written, table = table, materialize(table.sparkSession.createDataFrame(rows, _SHAPE), "blocks")
+            old.unpersist()
+            old, state = None, _read(table, count).persist(StorageLevel.MEMORY_AND_DISK)
+            state.count()
+            drop(written)
+    for kept in (old, state):
+        if kept is not None:
+            kept.unpersist()
+    return table
+
+
+def _grow(found_by: Callable[..., dict[str, np.ndarray]], number: int, plan: Plan) -> Tree:
+    """One tree; ``found_by(tree, level, nodes, columns)`` gives the best splits of a level's nodes."""
+    size, columns = (1 << (plan.depth + 1)) - 1, plan.columns(number)
     tree = Tree(np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.arange(size), np.arange(size), np.zeros(size), np.zeros(size))
     nodes, used = np.zeros(1, np.int64), 1
-    for level in range(depth):
-        def job(blocks, level=level, nodes=nodes, tree=tree, pending=tuple(pending)):
-            total = 0
-            for block in blocks:
-                total = total + _sums(block, positive_weight, pending, tree, depth, level, nodes, columns, row_share, seed, bins)
-            return list(enumerate(total)) if not np.isscalar(total) else []
-
-        def best(pair, many=len(nodes)):
-            i, sums = pair
-            return i, _best_cuts(sums, many, len(cuts[columns[i]]), l2, least_weight)
-
-        parts = state.mapPartitions(job)
-        if state.getNumPartitions() > 1:
-            parts = parts.reduceByKey(np.add, min(len(columns), state.getNumPartitions()))
-        found = _best_splits(parts.map(best).collect())
-        leaf = lambda s: -rate * s[..., 0] / (s[..., 1] + l2)
+    for level in range(plan.depth):
+        found = found_by(tree, level, nodes, columns)
+        leaf = lambda s: -plan.rate * s[..., 0] / (s[..., 1] + plan.l2)
         if not level:
             tree.value[0] = leaf(found["total"])[0]
         split = np.flatnonzero(found["gain"] > _LEAST_GAIN)
         at = nodes[split]
         left = used + 2 * np.arange(len(split))
         tree.feature[at], tree.bin[at] = columns[found["column"][split]], found["bin"][split]
-        tree.threshold[at] = [cuts[f][b] for f, b in zip(tree.feature[at], tree.bin[at])]
+        tree.threshold[at] = [plan.cuts[f][b] for f, b in zip(tree.feature[at], tree.bin[at])]
         tree.left[at], tree.right[at], tree.gain[at] = left, left + 1, found["gain"][split]
         tree.value[left], tree.value[left + 1] = leaf(found["left"][split]), leaf(found["total"][split] - found["left"][split])
         nodes, used = np.concatenate([left, left + 1]), used + 2 * len(split)

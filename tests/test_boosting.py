@@ -124,6 +124,35 @@ def test_driver_sees_the_best_splits_alone(spark, monkeypatch):
     assert B.partitions_for(df, 0, 1 << 14) == 1 and B.partitions_for(df, 20_000, 1 << 14) == 2
 
 
+def test_one_task_grows_all_trees_of_few_rows(spark, monkeypatch):
+    """Rounds start no jobs of their own up to TASK_CELLS; beyond, each level is a job that sends no bins. The trees are the same."""
+    rng = np.random.default_rng(8)
+    x, y = sample(rng, 1500)
+    df, plain_collect, sent = frame(spark, x, y), RDD.collect, []
+
+    def collect(self):
+        found = plain_collect(self)
+        sent[-1].append(len(pickle.dumps(found)))
+        return found
+
+    def fitted(cells, rounds):
+        monkeypatch.setattr(B, "TASK_CELLS", cells)
+        sent.append([])
+        return B.fit(df, FEATURES, "y", rounds=rounds, depth=4, positive_weight=3.0, block_rows=200)
+
+    monkeypatch.setattr(RDD, "collect", collect)
+    monkeypatch.setattr(B, "WRITE", 3)
+    few, many = fitted(1500 * len(FEATURES), 2), fitted(1500 * len(FEATURES), 8)
+    assert list(map(len, sent)) == [1, 1] and len(few.trees) == 2 and max(t.left.size for t in many.trees) > 15
+    by_jobs = fitted(1500 * len(FEATURES) - 1, 8)
+    # A job for each level, one for each of two times that the margins are written.
+    assert 8 < len(sent[-1]) <= 8 * 4 + 2 and max(sent[-1]) < 10_000
+    for a, b in zip([*many.trees, *few.trees], [*by_jobs.trees, *many.trees]):
+        assert all(np.allclose(getattr(a, name), getattr(b, name)) for name in ("feature", "bin", "threshold", "left", "right", "value", "gain"))
+    none = B.fit(df.where("false"), FEATURES, "y", rounds=2)
+    assert not none.trees
+
+
 def test_saved_model_scores_alike(spark, tmp_path):
     rng = np.random.default_rng(4)
     x, y = sample(rng, 300)
