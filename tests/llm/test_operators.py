@@ -472,6 +472,33 @@ def test_perplexity_of_rare_contexts(spark, monkeypatch):
     assert all(abs(sliced[i][0] - got[i][0]) < 0.02 * abs(got[i][0]) for i in got)
 
 
+def test_words_seen_once_have_restaurants(spark):
+    """After a word seen once, its own follower has the mass of one customer and the others what that one leaves to the root."""
+    key = lambda w: perplexity.END if w is None else int(perplexity.tokens(*T.buffers(pa.array([w])))[0][0])
+    asked = ["solo follows", "solo solo", "follows unheard", "follows"]
+    for texts in ([prose(3300 + i, 200) for i in range(20)] + [asked[0]], [asked[0]]):
+        seen = [x for text in texts for x in brute.low_words(text)]
+        assert seen.count(b"solo") == seen.count(b"follows") == 1
+        model = perplexity.learn(spark.createDataFrame(rows(texts), SCHEMA))
+        s, (w, n, p, contexts) = model.numbers, _probabilities(model)
+        root = lambda b: p[np.searchsorted(w, key(b))] if key(b) in w else np.array(model.unknown)
+
+        def after(a, b):
+            if key(a) not in w:
+                return root(b).mean()
+            if key(a) in contexts:
+                return contexts[key(a)][np.searchsorted(w, key(b))]
+            own = (a, b) in ((None, "solo"), ("solo", "follows"), ("follows", None))
+            return (own * (1 - s.discount) + (s.strength + s.discount) * root(b).mean()) / (s.strength + 1)
+
+        assert len(texts) > 1 or abs(sum(after("solo", b) for b in (None, "solo", "follows", "unheard")) - 1) < 1e-9
+        got = by_id(perplexity.score(spark.createDataFrame(rows(asked), SCHEMA), model), "score")
+        for i, text in enumerate(asked):
+            words = [None, *text.split(), None]
+            want = sum(np.log10(after(a, b)) for a, b in zip(words, words[1:]))
+            assert abs(got[i][0] - want) < 1e-9 * abs(want), (text, got[i][0], want)
+
+
 def test_perplexity_sums_are_exact(monkeypatch):
     """Sums of pairs, also where two pairs have one key; parts are ranges of the sorted keys."""
     rng = np.random.default_rng(3)
